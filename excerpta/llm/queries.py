@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, mixing, simhash
+from . import bpe, langid, minhash, mixing, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op4_source_mixing": lambda s, d: mixing.op4(table(s, d, "documents")),
         "op6_golay_simhash": lambda s, d: simhash.op6(table(s, d, "documents")),
         "op8_language_id": lambda s, d: langid.op8(table(s, d, "documents")),
+        "op10_byte_bpe": lambda s, d: bpe.op10(table(s, d, "documents")),
     }
 
 
