@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash, mixing, simhash
+from . import bpe, langid, minhash, mixing, pii, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_one_permutation_minhash": lambda s, d: minhash.op2(table(s, d, "documents")),
+        "op3_bootstrapped_pii": lambda s, d: pii.op3(table(s, d, "documents")),
         "op4_source_mixing": lambda s, d: mixing.op4(table(s, d, "documents")),
         "op6_golay_simhash": lambda s, d: simhash.op6(table(s, d, "documents")),
         "op8_language_id": lambda s, d: langid.op8(table(s, d, "documents")),
