@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample: documents a language, windows a document.
+#: Bounds of the training sample: languages (the commonest ones), documents a language, windows a document.
+TRAIN_LANGS = 256
 TRAIN_DOCS = 400
 TRAIN_WINDOWS = 6
 WINDOW_BYTES = 256
@@ -40,7 +41,8 @@ def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held"), F.xxhash64(F.lit(SEED), F.col(id_col)).alias("h"))
     rows = rows.filter(~F.col("held") & F.col("lang").isNotNull() & (F.length("text") > 0))
     order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    bounds = rows.select("lang", "h").withColumn("r", order).filter(F.col("r") <= TRAIN_DOCS).groupBy("lang").agg(F.max("h").alias("most")).withColumnRenamed("lang", "l")
+    bounds = rows.select("lang", "h").withColumn("r", order).filter(F.col("r") <= TRAIN_DOCS).groupBy("lang").agg(F.max("h").alias("most"), F.count("*").alias("n"))
+    bounds = F.broadcast(bounds.orderBy(F.desc("n"), "lang").limit(TRAIN_LANGS).select(F.col("lang").alias("l"), "most"))
     at = lambda k: F.pmod(F.xxhash64("h", k), F.greatest(F.length("text") - WINDOW_BYTES, F.lit(1))).cast("int")
     few = F.least(F.lit(TRAIN_WINDOWS), 1 + F.floor(F.length("text") / WINDOW_BYTES)).cast("int")
     pieces = F.transform(F.sequence(F.lit(1), few), lambda k: F.substring("text", at(k) + 1, F.lit(WINDOW_BYTES)))
