@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash, mixing, multiindex, pii, resampling, simhash, warc
+from . import bpe, langid, minhash, mixing, multiindex, pii, resampling, simhash, suffixes, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op2_one_permutation_minhash": lambda s, d: minhash.op2(table(s, d, "documents")),
         "op3_bootstrapped_pii": lambda s, d: pii.op3(table(s, d, "documents")),
         "op4_source_mixing": lambda s, d: mixing.op4(table(s, d, "documents")),
+        "op5_suffix_dedup": lambda s, d: suffixes.op5(table(s, d, "documents")),
         "op6_golay_simhash": lambda s, d: simhash.op6(table(s, d, "documents")),
         "op7_inverted_multi_index": lambda s, d: multiindex.op7(table(s, d, "embeddings")),
         "op8_language_id": lambda s, d: langid.op8(table(s, d, "documents")),

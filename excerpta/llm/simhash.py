@@ -213,10 +213,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp", "left").select("id", "fp", "component")
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id names their component, once each, with all their columns."""
-    kept = simhash_components(docs, id_col, text_col).filter("id = component").select(F.col("id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["__kept_id"], "left_semi").dropDuplicates([id_col])
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_DIFFERENT_BITS) -> DataFrame:
+    """The documents whose id names their component, once each, with all their columns; rows without an id stay."""
+    own = simhash_components(docs, id_col, text_col, most)
+    gone = own.filter("id is not null and id <> component").select(F.col("id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
 
 
 def op6(docs: DataFrame) -> DataFrame:
