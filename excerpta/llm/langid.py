@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 #: Bounds of the training sample: languages (the commonest ones), documents a language, windows a document.
 TRAIN_LANGS = 256
@@ -223,8 +224,7 @@ def keep_identified(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id",
             (found,) = run([pa.RecordBatch.from_arrays([b.column(at), b.column(at)], ["id", "text"])])
             yield b.append_column(flag, pa.array([p != NONE and s >= least for p, s in zip(found.column(1).to_pylist(), found.column(2).to_pylist())]))
 
-    ddl = docs.schema.add(flag, "boolean") if flag not in names else docs.schema
-    return docs.mapInArrow(keep, ddl).filter(F.col(flag)).select(*names)
+    return docs.mapInArrow(keep, StructType([*docs.schema.fields, StructField(flag, BooleanType())])).filter(F.col(flag)).select(*names)
 
 
 def op8(docs: DataFrame) -> DataFrame:
