@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG_WORD = 512
-#: Code points of text, words of a query and words of the cache that a worker holds at a time.
+#: Code points of text, words of a query and words of each half of the cache that a worker holds at a time.
 CHUNK_CHARS = 2_000_000
 QUERY_WORDS = 20_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 #: One contraction a word and step: the least (rank, place), with the place of the row that it swallows, packed into one number.
 _SHORT = """
@@ -38,8 +38,8 @@ _SHORT = """
         select it, word, pos, tok from start_rows
         union all (
             with paired as (select word, pos, tok, lead(tok) over w as nxt, lead(pos) over w as after from step window w as (partition by word order by pos)),
-            least as (select word, min((m.merged << 32) | (pos << 16) | after) as best from paired join merges m on m.l = tok and m.r = nxt group by word)
-            select it + 1, step.word, pos, case when pos = ((best >> 16) & 65535) then best >> 32 else tok end
+            least as (select word, min((m.merged << 32) | (pos::bigint << 16) | after) as best from paired join pairs m on m.both_ids = ((tok::bigint << 20) | nxt) group by word)
+            select (it + 1)::smallint, step.word, pos, case when pos = ((best >> 16) & 65535) then (best >> 32)::int else tok end
             from step join least using (word) where pos <> (best & 65535)))
     select word, tok from step join (select word, max(it) as it from step group by word) using (word, it) order by word, pos
 """
@@ -80,15 +80,17 @@ class Codec:
 
     def __init__(self, path: str):
         self.ranks = vocabulary(path)
-        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("given", merge_rows(self.ranks))
         self.db.execute("create table merges as select * from given")
+        self.db.execute("create table pairs as select (l << 20) | r as both_ids, merged from given")
         self.db.unregister("given")
         self.db.register("given", pa.table({"tok": list(self.ranks.values()), "hex": [w.hex() for w in self.ranks]}))
         self.db.execute("create table vocab as select * from given")
         self.db.unregister("given")
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word. A word that is a token has that one id, as the library does it."""
@@ -108,7 +110,7 @@ class Codec:
     def _run(self, words: list[bytes], recursive: bool) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        rows = pa.table({"it": np.zeros(len(at), np.int64), "word": np.repeat(np.arange(len(words)), sizes), "pos": at, "tok": self.byte[np.frombuffer(b"".join(words), np.uint8)]})
+        rows = pa.table({"it": np.zeros(len(at), np.int16), "word": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": at.astype(np.int32), "tok": self.byte[np.frombuffer(b"".join(words), np.uint8)]})
         self.db.register("start_rows", rows)
         if recursive:
             got = self.db.execute(_SHORT).fetchnumpy()
@@ -134,10 +136,20 @@ class Codec:
         return out
 
     def learn(self, words: set[str]) -> None:
-        """Encode and decode new words and keep both, ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
+        """Make the words known: ids as little-endian unsigned 32-bit integers, and decoded bytes.
+
+        The cache has two halves. A full newer half becomes the older one, and words that are met again move
+        to the newer one, so that only words of long ago are forgotten.
+        """
+        if len(self.known) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        new = []
+        for w in words:
+            if w not in self.known:
+                if (got := self.older.get(w)) is None:
+                    new.append(w)
+                else:
+                    self.known[w] = got
         for at in range(0, len(new), QUERY_WORDS):
             part = new[at : at + QUERY_WORDS]
             ids = self.encode_words([w.encode("utf-8", "surrogatepass") for w in part])
