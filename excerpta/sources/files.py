@@ -62,8 +62,7 @@ def register(spark: SparkSession) -> None:
     from ..functions.types import extractor_map
     from ..operators import reader
 
-    @arrow_udf("struct<status:string,content:string,error_msg:string,is_encrypt:int>")
-    def extract_file(paths: pa.Array, contents: pa.Array) -> pa.Array:
+    def extract_file(paths, contents):
         out = []
         for p, c in zip(paths.to_pylist(), contents.to_pylist()):
             kind = extractor_map().get(reader.extension(p or ""))
@@ -72,7 +71,8 @@ def register(spark: SparkSession) -> None:
         return pa.array(out, pa.struct([("status", pa.string()), ("content", pa.string()), ("error_msg", pa.string()), ("is_encrypt", pa.int32())]))
 
     spark.dataSource.register(FileHead)
-    spark.udf.register("extract_file", extract_file)
+    extract_file.__annotations__ = {"paths": pa.Array, "contents": pa.Array, "return": pa.Array}
+    spark.udf.register("extract_file", arrow_udf(extract_file, "struct<status:string,content:string,error_msg:string,is_encrypt:int>"))
 
 
 def write_json(results: DataFrame, path: str) -> None:
