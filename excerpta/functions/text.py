@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+csv.field_size_limit(1 << 30)
 SEPARATORS = (",", ";", "\t", "|")
 LOG_BYTES = 4096
 # Windows code pages of RTF, and the text of its symbol words.
@@ -146,8 +147,7 @@ def normalise_csv(raw: bytes | None) -> str:
     raw = raw or b""
     counts = [raw.count(s.encode()) for s in SEPARATORS]
     sep = SEPARATORS[max(range(4), key=lambda i: (counts[i], -i))]
-    csv.field_size_limit(1 << 30)
-    rows = csv.reader(io.StringIO(decode_text(raw).replace("\0", ""), newline=""), delimiter=sep, skipinitialspace=False)
+    rows = csv.reader(io.StringIO(decode_text(raw).replace("\0", ""), newline=""), delimiter=sep)
     return "".join("\t".join(r) + "\n" for r in rows if r)
 
 

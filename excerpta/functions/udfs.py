@@ -19,9 +19,9 @@ def scalar(f: Callable, returns: str) -> Callable[[Column], Column]:
     @arrow_udf(spark_type)
     def run(values: pa.Array) -> pa.Array:
         out = []
-        for v in values:
+        for v in values.to_pylist():
             try:
-                out.append(f(v.as_py()))
+                out.append(f(v))
             except Exception:
                 out.append(None)
         return pa.array(out, kind)

@@ -91,26 +91,32 @@ def vsdx(raw: bytes, fixed: bool = False) -> str:
     return "\n".join(_tagged(_text(d), "w:t", False) for _, d in found).strip()
 
 
+_SHARED, _RUN = re.compile(r"(?s)<si>(.*?)</si>"), re.compile(r"(?s)<t(?:\s[^>]*)?(?<!/)>(.*?)</t>")
+_CELL, _KIND, _VALUE = re.compile(r"(?s)<c(\s[^>]*?)?(?<!/)>(.*?)</c>"), re.compile(r'\bt="(\w+)"'), re.compile(r"(?s)<v(?:\s[^>]*)?>(.*?)</v>")
+
+
 def xlsx(raw: bytes, fixed: bool = False) -> str:
     strings: list[str] = []
     for _, data in parts(raw, lambda n: n == "xl/sharedStrings.xml"):
-        for si in re.findall(r"(?s)<si>(.*?)</si>", _text(data)):
-            runs = re.findall(r"(?s)<t(?:\s[^>]*)?(?<!/)>(.*?)</t>", si)
-            strings.append(unescape("".join(runs)) if fixed else "".join(runs[:1]))
+        for si in _SHARED.findall(_text(data)):
+            runs = _RUN.findall(si)
+            whole = "".join(runs if fixed else runs[:1])
+            strings.append(unescape(whole) if fixed and ("&" in whole or "\\" in whole) else whole)
     sheets = []
     for _, data in parts(raw, lambda n: n.startswith("xl/worksheets/sheet") and n.endswith(".xml")):
         cells = []
-        for attributes, body in re.findall(r"(?s)<c(\s[^>]*?)?(?<!/)>(.*?)</c>", _text(data)):
-            kind = (re.search(r'\bt="(\w+)"', attributes or "") or [None, "n"])[1]
-            value = (re.search(r"(?s)<v(?:\s[^>]*)?>(.*?)</v>", body) or [None, None])[1]
-            if kind == "s" and value is not None and value.strip().isdigit() and int(value) < len(strings):
-                cells.append(strings[int(value)])
-            elif kind == "str" and value is not None:
-                cells.append(unescape(value))
+        for attributes, body in _CELL.findall(_text(data)):
+            kind = "s" if ' t="s"' in attributes else (_KIND.search(attributes) or ("", "n"))[1]
+            value = _VALUE.search(body)
+            if kind == "s":
+                if value and value[1].strip().isdigit() and int(value[1]) < len(strings):
+                    cells.append(strings[int(value[1])])
+            elif kind == "str" and value:
+                cells.append(unescape(value[1]))
             elif fixed and kind == "inlineStr":
-                cells.append(unescape("".join(re.findall(r"(?s)<t(?:\s[^>]*)?>(.*?)</t>", body))))
-            elif fixed and value is not None:
-                cells.append({"b": {"1": "TRUE", "0": "FALSE"}.get(value, value)}.get(kind, value))
+                cells.append(unescape("".join(_RUN.findall(body))))
+            elif fixed and value:
+                cells.append({"b": {"1": "TRUE", "0": "FALSE"}.get(value[1], value[1])}.get(kind, value[1]))
         sheets.append(" ".join(cells))
     text = "\n".join(sheets).strip()
     if not text:

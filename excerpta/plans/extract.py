@@ -11,6 +11,7 @@ import time
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,18 +50,24 @@ def planned(files: DataFrame, mode: str = "reference", strict_pgp: bool = False,
 
 
 def _parse(mode: str, ocr: bool):
+    def one(r: dict) -> dict:
+        began, raw, kind = time.perf_counter(), r["bytes"] or b"", r["parser"]
+        if raw.startswith(legacy.SIGNATURE) and legacy.ole_encrypted(raw, r["ext"], mode):
+            r |= {"status": "failed", "content": "", "error_msg": ENCRYPTED, "is_encrypt": 1}
+        elif kind:
+            got = reader.safe_read(r["file_name"], raw, kind, mode, ocr)
+            r |= {"status": got.status, "content": got.content, "error_msg": got.error, "is_encrypt": int(got.encrypted or r["is_encrypt"] or 0)}
+        return {k: r[k] for k in _KEPT} | {"execute_time": f"{time.perf_counter() - began:.4f}"}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                began, raw, kind = time.perf_counter(), r["bytes"] or b"", r["parser"]
-                if raw.startswith(legacy.SIGNATURE) and kind is not None and legacy.ole_encrypted(raw, r["ext"], mode):
-                    r |= {"status": "failed", "content": "", "error_msg": ENCRYPTED, "is_encrypt": 1}
-                elif kind:
-                    got = reader.safe_read(r["file_name"], raw, kind, mode, ocr)
-                    r |= {"status": got.status, "content": got.content, "error_msg": got.error, "is_encrypt": int(got.encrypted or r["is_encrypt"] or 0)}
-                rows.append({k: r[k] for k in _KEPT} | {"execute_time": f"{time.perf_counter() - began:.4f}"})
-            yield pa.RecordBatch.from_pylist(rows, schema=_OUT)
+            wanted = pc.is_valid(b.column("parser"))
+            ready = b.filter(pc.invert(wanted))
+            if ready.num_rows:  # columns pass as they came
+                columns = {k: ready.column(k) for k in _KEPT} | {"execute_time": pa.array(["0.0000"] * ready.num_rows)}
+                yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in _OUT], schema=_OUT)
+            if ready.num_rows < b.num_rows:
+                yield pa.RecordBatch.from_pylist([one(r) for r in b.filter(wanted).to_pylist()], schema=_OUT)
 
     return run
 
