@@ -11,8 +11,22 @@ from . import types as T
 
 # Magic bytes and the type each one names, in order.
 MAGIC = (("D0CF11E0A1B11AE1", "doc"), ("504B0304", "zip"), ("526172211A070100", "rar"), ("526172211A0700", "rar"), ("377ABCAF271C", "7z"), ("25504446", "pdf"), ("85", "pgp"), ("8C", "pgp"), ("C4", "pgp"))
-# Types that pass for one another.
-EQUIVALENT = ("doc dot wps wpt", "docx dotx docm dotm", "xls xlt et ett", "xlsx xltx xlsm xltm xlam", "ppt pot pps dps dpt", "pptx potx potm ppsx ppsm pptm", "jpg jpeg jpe", "tif tiff", "htm html", "yml yaml", "md markdown", "tgz tar.gz", "txt log ini", "mid midi", "aif aiff", "mpg mpeg")
+# For an expected type, the detected ones that pass for it. Other types pass only for themselves.
+PASSES_FOR = """
+doc: doc dot wps wpt
+docx: docx dotx dotm docm odt
+xls: xls xlt et ett xlsb
+xlsx: xlsx xlsm xltx xltm xlam
+ppt: ppt pot pps dps dpt
+pptx: pptx potx potm ppsm pptm ppsx vsdx
+txt: text txt plain log csv ini
+log: text txt plain log
+ini: text txt plain ini
+tgz: tgz tar.gz
+jpg: jpg jpeg
+"""
+# What an error message starts with.
+ERROR_STARTS = {"doc": "打开Word文档失败", "docx": "打开Word文档失败", "xls": "打开Excel文件失败", "xlsx": "打开Excel文件失败", "ppt": "打开PowerPoint文件失败", "pptx": "打开PowerPoint文件失败", "pdf": "打开PDF文件失败"}
 
 
 def base_name(path: Column) -> Column:
@@ -78,20 +92,15 @@ def sniffed_member(content: Column) -> Column:
 
 
 def same_type(expected: Column, found: Column) -> Column:
-    """Equal, or members of one group of equivalent types."""
-    group = lambda t: reduce(lambda c, g: c.when(t.isin(*g[1].split()), g[0]), list(enumerate(EQUIVALENT))[1:], F.when(t.isin(*EQUIVALENT[0].split()), 0))
-    return (F.lower(expected) == F.lower(found)) | F.coalesce(group(F.lower(expected)) == group(F.lower(found)), F.lit(False))
+    """Equal, or a type that passes for the expected one."""
+    groups = [line.split(": ") for line in PASSES_FOR.strip().splitlines()]
+    return reduce(lambda c, g: c | ((expected == g[0]) & found.isin(*g[1].split())), groups, expected == found)
 
 
-def error_prefix(type_: Column) -> Column:
-    """Who an error message speaks of."""
-    return (
-        F.when(type_.isin("doc", "docx", "dot", "dotx", "docm", "dotm", "wps", "wpt"), "Word")
-        .when(type_.isin("xls", "xlsx", "xlsm", "xlsb", "xlt", "xltx", "xltm", "xlam", "et", "ett"), "Excel")
-        .when(type_.isin("ppt", "pptx", "pps", "ppsx", "pot", "potx", "dps", "dpt", "pptm", "ppsm", "potm"), "PowerPoint")
-        .when(type_ == "pdf", "PDF")
-        .otherwise("")
-    )
+def error_message(type_: Column, error: Column) -> Column:
+    """An error with the words for the kind of file that it concerns."""
+    start = reduce(lambda c, e: c.when(type_ == e[0], e[1]), list(ERROR_STARTS.items())[1:], F.when(type_ == "doc", ERROR_STARTS["doc"])).otherwise("打开文件失败")
+    return F.concat_ws(": ", start, error)
 
 
 def valid_path(path: Column) -> Column:

@@ -257,8 +257,8 @@ def back_map() -> dict[str, str]:
 
 
 def category(extension: str) -> str:
-    """office, archive, image, text, pdf or other; double extensions of archives are other."""
-    for name, members in (("office", OFFICE), ("archive", ARCHIVE), ("image", IMAGE), ("text", [*PLAIN, *CODE, "csv", "rtf", "ts"]), ("pdf", ["pdf"])):
+    """office, archive, image, text, pdf or other; double extensions of archives, code and markup are other."""
+    for name, members in (("office", OFFICE), ("archive", ARCHIVE), ("image", IMAGE), ("text", [*PLAIN, "text", "plain", "csv"]), ("pdf", ["pdf"])):
         if extension in members:
             return name
     return "other"
@@ -266,7 +266,7 @@ def category(extension: str) -> str:
 
 @lru_cache(1)
 def rows() -> tuple[tuple[str, str, str, str, bool], ...]:
-    known = sorted(set(mime_map()) | supported() | {"ts"})
+    known = sorted(set(mime_map()) | supported() | {"text", "plain"})
     return tuple((e, mime_map().get(e, DEFAULT_MIME), category(e), extractor_map().get(e, METADATA_ONLY), e in supported()) for e in known)
 
 

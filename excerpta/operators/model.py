@@ -9,10 +9,13 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.types import AUDIO
+
 BLOCK, SIDE, PAD, LEAST = 4096, 1024, 256, 8
 _SPACE = b" \t\n\r\x0b\x0c"
-# Labels whose file type differs from their first extension.
-TYPE_OF_LABEL = {"javascript": "js", "typescript": "ts", "python": "py", "csharp": "cs", "markdown": "md", "shell": "sh", "batch": "bat", "powershell": "ps1", "sevenzip": "7z", "gzip": "gz", "bzip": "bz2", "jpeg": "jpg", "ruby": "rb", "rust": "rs", "kotlin": "kt", "perl": "pl"}
+# Labels that name another type than themselves; formats and audio types whose label is their type.
+TYPE_OF_LABEL = {"jpeg": "jpg", "textproto": "txt", "midi": "mid"}
+SAME_AS_LABEL = "doc docx xls xlsx ppt pptx pdf txt zip 7z rar tar gz png jpg bmp gif webp html xml json empty unknown".split()
 
 
 def features(raw: bytes) -> list[int]:
@@ -69,4 +72,7 @@ def load_config(path: str) -> dict:
 
 
 def type_of_label(label: str, extensions: list[str]) -> str:
+    """File type of a content type: fixed ones, else its first extension, else the label itself."""
+    if label in SAME_AS_LABEL or label in AUDIO:
+        return label
     return TYPE_OF_LABEL.get(label) or (extensions[0] if extensions else label)

@@ -103,17 +103,17 @@ def fallback_route(spark: SparkSession, d: str) -> DataFrame:
     return routed.withColumn("extractor", F.when(F.col("routed").isNotNull(), types.extractor_of(F.col("routed"))))
 
 
-@query(f"""select case when ext in ('docx', 'docm', 'xls') then 'office' when ext = 'zip' then 'archive' when ext in ('jpg', 'png') then 'image' when ext in ('html', 'md', 'csv', 'ts') then 'text' when ext = 'pdf' then 'pdf' else 'other' end as category, count(*) as n
+@query(f"""select case when ext in ('docx', 'docm', 'xls') then 'office' when ext = 'zip' then 'archive' when ext in ('jpg', 'png') then 'image' when ext = 'csv' then 'text' when ext = 'pdf' then 'pdf' else 'other' end as category, count(*) as n
     from ({_NAMED}) group by 1""")
 def category_rollup(spark: SparkSession, d: str) -> DataFrame:
     return _named(spark, d).select(types.category_of(detect.extension(F.col("path"))).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query(f"select doc_id, case ext when 'docx' then 'Word' when 'docm' then 'Word' when 'xls' then 'Excel' when 'pdf' then 'PDF' else '' end as prefix, ext = 'jpg' or ext = 'docx' as same from ({_NAMED})")
-def error_prefix(spark: SparkSession, d: str) -> DataFrame:
+@query(f"select doc_id, case ext when 'docx' then '打开Word文档失败' when 'xls' then '打开Excel文件失败' when 'pdf' then '打开PDF文件失败' else '打开文件失败' end || ': e' || doc_id as message, ext = 'jpg' or ext = 'docx' as same from ({_NAMED})")
+def error_message(spark: SparkSession, d: str) -> DataFrame:
     ext = detect.extension(F.col("path"))
     other = F.when(ext == "jpg", "jpeg").when(ext == "docx", "dotx").otherwise("rar")
-    return _named(spark, d).select("doc_id", detect.error_prefix(ext).alias("prefix"), detect.same_type(ext, other).alias("same"))
+    return _named(spark, d).select("doc_id", detect.error_message(ext, F.concat(F.lit("e"), F.col("doc_id").cast("string"))).alias("message"), detect.same_type(ext, other).alias("same"))
 
 
 _HEADS = ("D0CF11E0A1B11AE1", "504B030414000900", "504B030414000000", "377ABCAF271C0004", "25504446", "526172211A070100", "526172211A070000", "85", "8C01", "C4", "89504E47", "48656C6C6F")
