@@ -113,28 +113,42 @@ def _units(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _homes(index: Index):
+    """The first-half centroid of each vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = index.first.shape[1]
+        for b in batches:
+            near = [_square_distances(_units(b.column(0).slice(at, BATCH))[:, :half], index.first).argmin(axis=1) for at in range(0, b.num_rows, BATCH)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *near]).astype(np.int32))], ["part"])
+
+    return run
+
+
 def _deal(index: Index):
-    """Members to their own cell's centroid, queries once to each first-half centroid that they visit."""
+    """Members to their own cell's centroid with all cells that they visit, queries once to each first-half centroid with their own cell and those that they visit there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(index.second)
+        names = ["part", "query", "id", "v", "n", "cells"]
         for b in batches:
             for at in range(0, b.num_rows, BATCH):
                 part = b.slice(at, BATCH)
                 cells = index.cells(_units(part.column(1)))
-                first = cells // k
-                ids, weights = part.column(0), part.column(2)
-                for query in (0, 1):
-                    if query:
-                        order = np.sort(first, axis=1)
-                        new = np.concatenate((np.ones((len(order), 1), bool), order[:, 1:] != order[:, :-1]), axis=1)
-                        r, c = np.nonzero(new)
-                        to = order[r, c]
-                    else:
-                        r, to = np.arange(len(cells)), first[:, 0]
+                own = cells[:, 0]
+                # the stable order keeps nearer cells first; the own cell is known by its number
+                by_part = np.take_along_axis(cells, np.argsort(cells // k, axis=1, kind="stable"), 1)
+                to = by_part // k
+                starts = np.flatnonzero(np.concatenate((np.ones((len(to), 1), bool), to[:, 1:] != to[:, :-1]), axis=1))
+                row = starts // cells.shape[1]
+                sizes = np.diff(np.append(starts, cells.size))
+                values = np.insert(by_part.ravel(), starts, own[row])
+                for query, r, p, lists in (
+                    (0, np.arange(len(cells)), own // k, pa.ListArray.from_arrays(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1], pa.array(cells.ravel().astype(np.int32)))),
+                    (1, row, to.ravel()[starts], pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes + 1))).astype(np.int32), pa.array(values.astype(np.int32)))),
+                ):
                     take = pa.array(r)
-                    lists = pa.FixedSizeListArray.from_arrays(pa.array(cells[r].ravel().astype(np.int32)), cells.shape[1]).cast(pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.full(len(r), query, np.int32)), ids.take(take), part.column(1).take(take), weights.take(take), lists], ["part", "query", "id", "v", "n", "cells"])
+                    yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(np.full(len(r), query, np.int32)), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), lists], names)
 
     return run
 
@@ -183,7 +197,7 @@ def _search(threshold: float, k: int):
             sums: list[tuple[np.ndarray, np.ndarray]] = []
             links: list[tuple[np.ndarray, np.ndarray]] = []
             for c, a, b in zip(cells, bounds[:-1], bounds[1:]):
-                rows = np.flatnonzero((visits == c).any(axis=1))
+                rows = np.flatnonzero((visits[:, 1:] == c).any(axis=1))
                 if not len(rows):
                     continue
                 hit = q[rows] @ x[a:b].T >= threshold
@@ -230,7 +244,11 @@ def _search(threshold: float, k: int):
 
 
 def _cells(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    """Lists of cells as rows, filled up with -1."""
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.full((len(sizes), sizes.max(initial=0)), -1)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = column.flatten().to_numpy()
+    return out
 
 
 def linked_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -252,9 +270,11 @@ def linked_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     n = groups.count()
     sample = np.array([r[0] for r in groups.orderBy(F.xxhash64(F.lit(SEED), "v")).select("v").limit(SAMPLE).collect()], np.float64)
     index = fit(sample / np.linalg.norm(sample, axis=1, keepdims=True), n, threshold)
-    dealt = cut(groups.select("id", "v", "n").repartition(parallelism(rows)).mapInArrow(_deal(index), "part int, query int, id long, v array<float>, n long, cells array<int>"))
-    blocks = dealt.filter("query = 0").groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = dealt.join(blocks, "part").withColumn("block", F.explode(F.when(F.col("query") == 0, F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    spread = groups.select("id", "v", "n").repartition(parallelism(rows))
+    # a row for each centroid, at most MOST_CENTROIDS
+    blocks = F.broadcast(spread.select("v").mapInArrow(_homes(index), "part int").groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    dealt = spread.mapInArrow(_deal(index), "part int, query int, id long, v array<float>, n long, cells array<int>")
+    own = dealt.join(blocks, "part", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.explode(F.when(F.col("query") == 0, F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     laid = own.select("part", "block", "query", "id", "v", "n", "cells").repartition(parallelism(rows), "part", "block").sortWithinPartitions("part", "block", "query")
     found = cut(laid.mapInArrow(_search(threshold, len(index.second)), "id long, links long, other long"))
     sums = found.filter("other is null").groupBy("id").agg(F.sum("links").alias("links"))
