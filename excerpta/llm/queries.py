@@ -28,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisit": warc.ORACLE_SQL}
+    return {"op1_warc_revisit": warc.ORACLE_SQL, "op7_inverted_multi_index": multiindex.ORACLE_SQL}
