@@ -13,6 +13,7 @@ groups taken in descending order, each suffix pointing to the nearest suffix bef
 lifting that one in its own group by how often it is pointed to; then one pass over the array being filled
 places each suffix at the front of its group.
 
+Equal texts are one text: all but those of least id lose every byte, if they are long enough to hold a string.
 Anchors, contexts and answers travel in packed blocks by anchor hash. Texts travel compressed.
 """
 
@@ -34,7 +35,7 @@ SIDE = LENGTH - GRAM
 #: Symbols of a context and the separator after it.
 WIDE = 2 * SIDE + 2
 #: Symbols that one suffix array takes, and contexts of one anchor beyond which they are compared window by window.
-ARRAY_SYMBOLS, HOT_CONTEXTS = 400_000, 20_000
+ARRAY_SYMBOLS, HOT_CONTEXTS = 200_000, 10_000
 #: Bytes of text, and documents, that a task packs together.
 PACK_BYTES, PACK_DOCS = 16_000_000, 60_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -192,7 +193,7 @@ def _buckets(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _emit_anchors(n_buckets: int):
-    """(bucket, n, n_docs, block): the low five bytes of the hashes, the documents' numbers in the block, their keys."""
+    """(bucket, n, n_docs, block): the low five bytes of the hashes, the texts' numbers in the block, their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[int] = []
@@ -235,7 +236,7 @@ def _emit_anchors(n_buckets: int):
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks sorted by bucket in; (key, h) of the anchors that two documents have. h is the bucket and the low bytes."""
+    """Blocks sorted by bucket in; (rid, h) of the anchors that two texts have. h is the bucket and the low bytes."""
     bucket, tokens, docs = None, [], []
 
     def solve() -> pa.RecordBatch:
@@ -245,7 +246,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         two = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
         keep = np.repeat(two, np.diff(np.append(at, len(t))))
-        return pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array((np.int64(bucket) << 40) | t[keep].astype(np.int64))], ["key", "h"])
+        return pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array((np.int64(bucket) << 40) | t[keep].astype(np.int64))], ["rid", "h"])
 
     for batch in batches:
         for r in range(batch.num_rows):
@@ -306,7 +307,7 @@ def _emit_contexts(n_buckets: int):
 
 
 def _solve(h: np.ndarray, key: np.ndarray, rid: np.ndarray, at: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(key, row, place, bits) of the occurrences with a string that starts in an earlier document."""
+    """(text, place, bits) of the occurrences with a string that starts in an earlier document."""
     row = np.concatenate((h.view(np.uint8).reshape(-1, 8), ctx.view(np.uint8).reshape(len(ctx), -1)), axis=1)
     _, first, of = np.unique(np.ascontiguousarray(row).view([("", f"V{row.shape[1]}")]).ravel(), return_index=True, return_inverse=True)
     least = np.full(len(first), _LAST)
@@ -347,7 +348,7 @@ def _solve(h: np.ndarray, key: np.ndarray, rid: np.ndarray, at: np.ndarray, ctx:
         inside[:, j] = (dctx[:, j : SIDE + j] != 299).all(axis=1)
     hit = (earliest[of] < key[:, None]) & inside[of]
     some = hit.any(axis=1)
-    return key[some], rid[some], at[some], (hit[some] << np.arange(SIDE + 1)).sum(axis=1)
+    return rid[some], at[some], (hit[some] << np.arange(SIDE + 1)).sum(axis=1)
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,8 +356,8 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unzip = zstandard.ZstdDecompressor()
 
     def solve() -> pa.RecordBatch:
-        key, rid, at, bits = _solve(*(np.concatenate([p[i] for p in parts]) for i in range(5)))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid), pa.array(at.astype(np.int32)), pa.array(bits.astype(np.int32))], ["key", "rid", "at", "bits"])
+        rid, at, bits = _solve(*(np.concatenate([p[i] for p in parts]) for i in range(5)))
+        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(at.astype(np.int32)), pa.array(bits.astype(np.int32))], ["rid", "at", "bits"])
 
     for batch in batches:
         for r in range(batch.num_rows):
@@ -382,10 +383,12 @@ def _finish(with_text: bool):
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for i, z, marks in zip(batch.column(0), batch.column(1), batch.column(2)):
+            for i, z, marks, copy in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
                 raw = unzip.decompress(z.as_py())
                 edge = np.zeros(len(raw) + 1, np.int32)
-                if marks.is_valid:
+                if copy and len(raw) >= LENGTH:  # every string of it starts in the first document with this text
+                    edge[0] = 1
+                elif marks.is_valid:
                     at, bits = marks.values.field(0).to_numpy(), marks.values.field(1).to_numpy()
                     r, j = np.nonzero(bits[:, None] >> np.arange(SIDE + 1) & 1)
                     s = np.unique(at[r] - SIDE + j)
@@ -404,21 +407,22 @@ def _finish(with_text: bool):
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per input row: ``id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked, the ``kept`` bytes.
 
-    Null texts are empty. Rows that share an id have nothing removed for each other's sake; they are told apart by their texts. A null id counts as
+    Null texts are empty. Rows that share an id have nothing removed for each other's sake. Texts are told apart by 64-bit hashes. A null id counts as
     greater than all others. Texts shorter than the string length stay whole.
     """
     n = parallelism(docs)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.xxhash64(text_or_empty(text_col)).alias("rid"), text_or_empty(text_col).alias("text"))
-    blocks = rows.select("key", F.col("text").cast("binary")).mapInArrow(_emit_anchors(n), "bucket int, n int, docs int, block binary")
-    repeated = blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "key long, h long")
-    wanted = repeated.groupBy("key").agg(F.collect_list("h").alias("wanted"))
+    first = cut(rows.groupBy("rid").agg(F.min("key").alias("least")))
+    blocks = rows.select("rid", F.col("text").cast("binary")).mapInArrow(_emit_anchors(n), "bucket int, n int, docs int, block binary")
+    repeated = blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "rid long, h long")
+    wanted = repeated.groupBy("rid").agg(F.collect_list("h").alias("wanted")).join(first, "rid").withColumnRenamed("least", "key")
     texts = rows.mapInArrow(_compress, "id long, key long, rid long, z binary")
-    around = texts.select("key", "rid", "z").join(wanted, "key").mapInArrow(_emit_contexts(n), "bucket int, n int, block binary")
-    answers = around.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answers, "key long, rid long, at int, bits int")
-    marks = cut(answers.groupBy("key", "rid").agg(F.collect_list(F.struct("at", "bits")).alias("marks")))
+    around = texts.select("key", "rid", "z").join(wanted, ["rid", "key"]).select("key", "rid", "z", "wanted").mapInArrow(_emit_contexts(n), "bucket int, n int, block binary")
+    answers = around.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answers, "rid long, at int, bits int")
+    marks = cut(answers.groupBy("rid").agg(F.collect_list(F.struct("at", "bits")).alias("marks")).join(first, "rid", "right"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return texts.join(marks, ["key", "rid"], "left").select("id", "z", "marks").mapInArrow(_finish(with_text), schema)
+    return texts.join(marks, "rid", "left").select("id", "z", "marks", (F.col("key") > F.col("least")).alias("copy")).mapInArrow(_finish(with_text), schema)
 
 
 def op5(docs: DataFrame) -> DataFrame:
