@@ -416,9 +416,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = cut(rows.groupBy("rid").agg(F.min("key").alias("least")))
     blocks = rows.select("rid", F.col("text").cast("binary")).mapInArrow(_emit_anchors(n), "bucket int, n int, docs int, block binary")
     repeated = blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "rid long, h long")
-    wanted = repeated.groupBy("rid").agg(F.collect_list("h").alias("wanted")).join(first, "rid").withColumnRenamed("least", "key")
+    wanted = repeated.groupBy("rid").agg(F.collect_list("h").alias("wanted")).join(first, "rid")
     texts = rows.mapInArrow(_compress, "id long, key long, rid long, z binary")
-    around = texts.select("key", "rid", "z").join(wanted, ["rid", "key"]).select("key", "rid", "z", "wanted").mapInArrow(_emit_contexts(n), "bucket int, n int, block binary")
+    around = texts.select("key", "rid", "z").join(wanted, "rid").filter("key = least").select("key", "rid", "z", "wanted").mapInArrow(_emit_contexts(n), "bucket int, n int, block binary")
     answers = around.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answers, "rid long, at int, bits int")
     marks = cut(answers.groupBy("rid").agg(F.collect_list(F.struct("at", "bits")).alias("marks")).join(first, "rid", "right"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
