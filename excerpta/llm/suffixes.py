@@ -36,6 +36,8 @@ SIDE = LENGTH - GRAM
 WIDE = 2 * SIDE + 2
 #: Symbols that one suffix array takes, and contexts of one anchor beyond which they are compared window by window.
 ARRAY_SYMBOLS, HOT_CONTEXTS = 200_000, 10_000
+#: Bytes of a hash that are sent to find repeated anchors, besides its bucket. Chance matches only add work.
+TOKEN_BYTES = 4
 #: Bytes of text, and documents, that a task packs together.
 PACK_BYTES, PACK_DOCS = 16_000_000, 60_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -193,7 +195,7 @@ def _buckets(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _emit_anchors(n_buckets: int):
-    """(bucket, n, n_docs, block): the low five bytes of the hashes, the texts' numbers in the block, their hashes."""
+    """(bucket, n, n_docs, block): the low bytes of the hashes, the texts' numbers in the block, their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[int] = []
@@ -211,7 +213,7 @@ def _emit_anchors(n_buckets: int):
             for k in np.flatnonzero(np.diff(cuts)):
                 pick = order[cuts[k] : cuts[k + 1]]
                 docs, number = np.unique(of[pick], return_inverse=True)
-                low = h[pick].view(np.uint8).reshape(-1, 8)[:, :5]
+                low = h[pick].view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
                 raw = b"".join((low.tobytes(), number.astype(np.uint16).tobytes(), np.array(keys, np.int64)[docs].tobytes()))
                 rows.append((int(k), len(pick), len(docs), raw))
             keys.clear()
@@ -246,7 +248,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         two = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
         keep = np.repeat(two, np.diff(np.append(at, len(t))))
-        return pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array((np.int64(bucket) << 40) | t[keep].astype(np.int64))], ["rid", "h"])
+        return pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array((np.int64(bucket) << 8 * TOKEN_BYTES) | t[keep].astype(np.int64))], ["rid", "h"])
 
     for batch in batches:
         for r in range(batch.num_rows):
@@ -257,10 +259,10 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket = k
             raw = batch.column(3)[r].as_py()
             low = np.zeros((n, 8), np.uint8)
-            low[:, :5] = np.frombuffer(raw, np.uint8, 5 * n).reshape(n, 5)
-            number = np.frombuffer(raw, np.uint16, n, 5 * n)
+            low[:, :TOKEN_BYTES] = np.frombuffer(raw, np.uint8, TOKEN_BYTES * n).reshape(n, TOKEN_BYTES)
+            number = np.frombuffer(raw, np.uint16, n, TOKEN_BYTES * n)
             tokens.append(low.view(np.uint64).ravel())
-            docs.append(np.frombuffer(raw, np.int64, m, 7 * n)[number])
+            docs.append(np.frombuffer(raw, np.int64, m, (TOKEN_BYTES + 2) * n)[number])
     if tokens:
         yield solve()
 
@@ -288,7 +290,7 @@ def _emit_contexts(n_buckets: int):
             for key, rid, z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 b = np.frombuffer(unzip.decompress(z.as_py()), np.uint8)
                 at, h = anchors(b)
-                own = (_buckets(h, n_buckets) << 40) | (h & np.uint64((1 << 40) - 1)).astype(np.int64)
+                own = (_buckets(h, n_buckets) << 8 * TOKEN_BYTES) | (h & np.uint64((1 << 8 * TOKEN_BYTES) - 1)).astype(np.int64)
                 take = np.isin(own, wanted.values.to_numpy())
                 at, h = at[take], h[take]
                 if not len(at):
