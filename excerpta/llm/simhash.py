@@ -40,25 +40,32 @@ GENERATOR = 0b101011100011
 _TINY = 6
 
 
-def simhash64(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash over word shingles, repeats included; lower-cased A-Z, fewer words: the whole sequence, none: 0."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the word shingles in order, repeats included; lower-cased A-Z, fewer words: the whole sequence, none: no hash."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
-    if not n:
-        return 0
     whole = b" ".join(words)
     if n <= shingle:
-        return xxhash.xxh64_intdigest(whole, SEED)
+        return np.array([xxhash.xxh64_intdigest(whole, SEED)][:n], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     parts = map(whole.__getitem__, map(slice, starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist()))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, n - shingle + 1)
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, n - shingle + 1)
+
+
+def fingerprint(h: np.ndarray) -> int:
+    """SimHash of shingle hashes; of none: 0."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 4096):
         counts += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def simhash64(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash over word shingles, repeats included; lower-cased A-Z, fewer words: the whole sequence, none: 0."""
+    return fingerprint(shingle_hashes(text, shingle))
+
+
 @lru_cache(1)
 def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Syndromes of the three bytes of a word; for each syndrome up to six error patterns, the lightest first; their number."""
@@ -213,14 +220,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp", "left").select("id", "fp", "component")
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_DIFFERENT_BITS) -> DataFrame:
-    """The documents whose id names their component, once each, with all their columns; rows without an id stay."""
-    own = simhash_components(docs, id_col, text_col, most)
+def least_of_each(docs: DataFrame, own: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents whose id names their ``component`` in ``own``, once each, with all their columns; rows without an id stay."""
     gone = own.filter("id is not null and id <> component").select(F.col("id").alias("__gone")).distinct()
     kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
     return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_DIFFERENT_BITS) -> DataFrame:
+    """The documents whose id names their component, once each, with all their columns; rows without an id stay."""
+    return least_of_each(docs, simhash_components(docs, id_col, text_col, most), id_col)
+
+
 def op6(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, fingerprint (16 hex digits), component_id."""
     return simhash_components(docs).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
