@@ -4,9 +4,10 @@ Unit vectors are cut into halves, each with its own codebook; a vector lies in t
 that its halves' nearest centroids name. Every vector visits the cells nearest to it in order of the summed
 distances (a cell at places a and b of the two orders can be among the first T only if (a + 1)(b + 1) <= T,
 so only those are compared), and each candidate in them is verified in double precision. T is the number of
-cells that reaches the target recall for vectors right at the threshold, measured when the index is fitted:
-each sampled vector is moved by exactly the threshold's angle in a random direction and the place of its
-partner's cell is noted. A link counts for both vectors if either visits the other's cell.
+cells that reaches the target recall on true links: a bounded sample of the vectors is held against all rows,
+and for each link the number of visits that finds it is noted. T is never less than what the sampled vectors
+need for partners at exactly the threshold's angle in random directions. A link counts for both vectors if
+either visits the other's cell.
 
 Equal vectors are one vector with a weight. Members of one first-half centroid are dealt into blocks of
 bounded size, queries come to a block once for all the cells they visit there, in streams; a task keeps one
@@ -32,6 +33,8 @@ SAMPLE, MEASURED = 8192, 1024
 PER_CELL = 128
 MOST_CENTROIDS = 1024
 TARGET_RECALL = 0.97
+#: Partners of a sampled vector that are looked at in a batch; the others count by weight.
+PARTNERS = 16
 BLOCK = 4096
 BATCH = 1024
 SEED = 11
@@ -60,6 +63,25 @@ class Index:
         near = np.argsort(s1[:, a] + s2[:, b], axis=1, kind="stable")[:, : self.visits]
         return np.take_along_axis(o1, a[near], 1) * len(self.second) + np.take_along_axis(o2, b[near], 1)
 
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        """Each vector's own cell."""
+        a, b = (d.argmin(axis=1) for d in self.distances(x))
+        return a * len(self.second) + b
+
+    def places(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many cells each vector visits until it comes to the given one."""
+        out, k = np.zeros(len(x), np.int64), len(self.second)
+        for i in range(0, len(x), 1024):
+            d1, d2 = self.distances(x[i : i + 1024])
+            rows, c = np.arange(len(d1)), cells[i : i + 1024]
+            goal = d1[rows, c // k] + d2[rows, c % k] + 1e-12
+            if k <= 64:
+                out[i : i + 1024] = (d1[:, :, None] + d2[:, None, :] <= goal[:, None, None]).sum(axis=(1, 2))
+            else:
+                d2.sort(axis=1)
+                out[i : i + 1024] = [np.searchsorted(d2[r], goal[r] - d1[r], side="right").sum() for r in rows]
+        return out
+
 
 def _square_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x * x).sum(axis=1)[:, None] - 2 * (x @ c.T) + (c * c).sum(axis=1)[None]
@@ -87,19 +109,49 @@ def fit(sample: np.ndarray, n_vectors: int, threshold: float = THRESHOLD, recall
     side -= (side * x).sum(axis=1, keepdims=True) * x
     norm = np.linalg.norm(side, axis=1, keepdims=True)
     y = threshold * x + (1 - threshold**2) ** 0.5 * side / np.where(norm > 0, norm, 1)
-    d1, d2 = index.distances(x)
-    at1, at2 = (d.argmin(axis=1) for d in index.distances(y))
-    rows = np.arange(len(x))
-    sums = np.sort((d1[:, :, None] + d2[:, None, :]).reshape(len(x), -1)[:, :], axis=1) if k <= 64 else None
-    goal = d1[rows, at1] + d2[rows, at2]
-    if sums is not None:
-        place = (sums <= goal[:, None] + 1e-12).sum(axis=1)
-    else:
-        place = np.array([(d1[i][:, None] + d2[i][None] <= goal[i] + 1e-12).sum() for i in rows])
+    place = index.places(x, index.homes(y))
     index.visits = int(min(k * k, max(1, np.quantile(place, recall, method="higher"))))
     return index
 
 
+def _needs(index: Index, ids: np.ndarray, q: np.ndarray, weights: np.ndarray, threshold: float):
+    """For links of the sampled vectors ``q`` with all rows ``id, v, n``: how many visits find them, as ``query, need, links``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_home = index.homes(q)
+        for b in batches:
+            for at in range(0, b.num_rows, BATCH):
+                part = b.slice(at, BATCH)
+                x, n = _units(part.column(1)), part.column(2).to_numpy()
+                hit = (x @ q.T >= threshold) & (part.column(0).to_numpy()[:, None] != ids[None])
+                nth = np.cumsum(hit, axis=0)
+                p, r = np.nonzero(hit & (nth <= PARTNERS))
+                need = np.minimum(index.places(q[r], index.homes(x)[p]), index.places(x[p], at_home[r]))
+                share = nth[-1, r] / np.minimum(nth[-1, r], PARTNERS)
+                yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(need), pa.array(share * n[p] * weights[r])], ["query", "need", "links"])
+
+    return run
+
+
+def visits_for(index: Index, groups: DataFrame, sample: list, threshold: float, recall: float = TARGET_RECALL) -> tuple[int, float, float]:
+    """Visits that reach the recall on the links of sampled rows ``id, v, n`` with all of ``groups``, over all links and on the mean of the vectors; with both recalls measured at them."""
+    q = np.array([r["v"] for r in sample], np.float64)
+    q /= np.abs(q).max(axis=1, keepdims=True)
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    needs = groups.select("id", "v", "n").repartition(parallelism(groups)).mapInArrow(_needs(index, np.array([r["id"] for r in sample]), q, np.array([r["n"] for r in sample], np.float64), threshold), "query int, need long, links double")
+    needs = cut(needs.groupBy("query", "need").agg(F.sum("links").alias("links")))
+    total = needs.groupBy("query").agg(F.sum("links").alias("total"))
+    rows = sorted(needs.join(total, "query").groupBy("need").agg(F.sum("links"), F.sum(F.col("links") / F.col("total"))).collect())
+    if not rows:
+        return index.visits, 1.0, 1.0
+    need, *shares = (np.array(c, np.float64) for c in zip(*rows))
+    shares = [np.cumsum(c) / c.sum() for c in shares]
+    reach = [int(need[min(np.searchsorted(c, recall), len(c) - 1)]) for c in shares]
+    visits = max(index.visits, *reach)
+    met = np.flatnonzero(need <= visits)
+    return visits, *(float(c[met[-1]]) if len(met) else 0.0 for c in shares)
+
+
 def usable(v: Column) -> Column:
     """Whether a vector can link: not null, all components finite, not zero."""
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -268,8 +320,10 @@ def linked_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     good, rest = base.filter(ok).select("id", "v"), base.filter(~ok | F.col("v").isNull())
     groups = cut(good.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
     n = groups.count()
-    sample = np.array([r[0] for r in groups.orderBy(F.xxhash64(F.lit(SEED), "v")).select("v").limit(SAMPLE).collect()], np.float64)
+    drawn = groups.orderBy(F.xxhash64(F.lit(SEED), "v")).select("id", "v", "n").limit(SAMPLE).collect()
+    sample = np.array([r["v"] for r in drawn], np.float64)
     index = fit(sample / np.linalg.norm(sample, axis=1, keepdims=True), n, threshold)
+    index.visits, *_ = visits_for(index, groups, drawn[:MEASURED], threshold)
     spread = groups.select("id", "v", "n").repartition(parallelism(rows))
     # a row for each centroid, at most MOST_CENTROIDS
     blocks = F.broadcast(spread.select("v").mapInArrow(_homes(index), "part int").groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
