@@ -5,7 +5,8 @@ number of digits). They are the seeds. Every place that looks like an identifier
 patterns around it: its two words to the left, and the word on either side. Patterns and the values seen in
 them make a graph. Seeds have score 1 in their kind; a pattern's score in a kind is the smoothed mean of its
 values' scores, and a value's score is the chance that at least one of its trusted patterns is right. Both
-are repeated a few times over the whole corpus; then values of high score in patterns of high score, with
+are repeated a few times over the whole corpus, and values of high score count as seeds in the next round, so
+that they induce patterns of their own; then values of high score in patterns of high score, with
 enough different seeds, are spans of that kind too. Base spans always stay.
 
 A match's place is the sum of what comes before it: ``split`` gives the gaps, ``regexp_extract_all`` the
@@ -30,9 +31,9 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PATTERNS = (EMAIL, IP, CARD, PHONE)
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: What may be an identifier: a phone or card shape, or a run without blanks that has a digit or an at sign.
-CANDIDATE = rf"{PHONE}|{CARD}(?=[^0-9A-Za-z@]|$)|(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
-LEAST_CHARS, LEAST_DIGITS = 6, 3
+#: What may be an identifier: a phone or card shape, or a run without blanks that has a digit or an at sign, written out or not.
+_AT = r"[\[({](?i:at)[\])}]"
+CANDIDATE = rf"{PHONE}|{CARD}(?=[^0-9A-Za-z@]|$)|(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+|(?<![^\s])[^\s]*?{_AT}[^\s]*+"
 ROUNDS = 3
 #: Smoothing of a pattern's mean, seeds a pattern needs, scores that patterns and values need.
 SMOOTH, LEAST_SEEDS, LEAST_SCORE = 0.5, 5, 0.8
@@ -107,7 +108,7 @@ def candidates(text: Column) -> Column:
     """``value, start, end, kind, patterns`` of every place that looks like an identifier."""
 
     def of(m: Column) -> Column:
-        core = F.regexp_extract(m["value"], r"(?s)[0-9A-Za-z@+(].*[0-9A-Za-z]", 0)
+        core = F.regexp_extract(m["value"], r"(?s)[0-9A-Za-z@+(](?:.*[0-9A-Za-z])?", 0)
 
         def with_core(v: Column) -> Column:
             start = m["start"] + F.char_length(F.regexp_extract(m["value"], r"^[^0-9A-Za-z@+(]*", 0))
@@ -119,8 +120,8 @@ def candidates(text: Column) -> Column:
         return let(core, with_core)
 
     near = F.transform(matches(text, CANDIDATE), lambda m: F.struct(m["value"].alias("value"), m["start"].alias("start"), F.right(m["before"], F.lit(80)).alias("before"), F.left(m["after"], F.lit(80)).alias("after")))
-    like = lambda c: (F.char_length(c["value"]) >= LEAST_CHARS) & (c["kind"].isNotNull() | (F.char_length(F.regexp_replace(c["value"], "[^0-9]", "")) >= LEAST_DIGITS))
-    return F.when(text.rlike("[0-9@]"), F.filter(F.transform(near, of), like)).otherwise(F.array().cast("array<struct<value:string,start:int,end:int,kind:string,patterns:array<string>>>"))
+    like = lambda c: c["value"].rlike(rf"[0-9]|[0-9A-Za-z].*@|@.*[0-9A-Za-z]|{_AT}")
+    return F.when(text.rlike(rf"[0-9@]|{_AT}"), F.filter(F.transform(near, of), like)).otherwise(F.array().cast("array<struct<value:string,start:int,end:int,kind:string,patterns:array<string>>>"))
 
 
 def trusted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -130,16 +131,16 @@ def trusted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     links = cut(edges.groupBy("pattern", "value").agg(F.max("kind").alias("seed")))
     of_pattern = links.groupBy("pattern").agg(F.count("*").alias("n"))
-    seeds = links.filter("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= LEAST_SEEDS)
-    base = cut(seeds.join(of_pattern, "pattern"))
-    unknown = cut(links.filter("seed is null").select("pattern", "value").join(base.select("pattern").distinct(), "pattern", "left_semi"))
+    seeds = cut(links.filter("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds")))
+    unknown = cut(links.filter("seed is null").select("pattern", "value"))
     scores = None
     for _ in range(ROUNDS):
         if scores is None:
-            more = base.select("pattern", "kind", F.lit(0.0).alias("more"))
+            base = seeds.withColumns({"more": F.lit(0.0), "taught": F.lit(0)})
         else:
-            more = unknown.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("more"))
-        patterns = base.join(more, ["pattern", "kind"], "left").withColumn("score", (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / (F.col("n") + SMOOTH))
+            more = unknown.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("more"), F.count_if(F.col("score") >= LEAST_SCORE).alias("taught"))
+            base = seeds.join(more, ["pattern", "kind"], "full").na.fill(0)
+        patterns = base.filter(F.col("seeds") + F.col("taught") >= LEAST_SEEDS).join(of_pattern, "pattern").withColumn("score", (F.col("seeds") + F.col("more")) / (F.col("n") + SMOOTH))
         kept = cut(patterns.filter(F.col("score") >= LEAST_SCORE).select("pattern", "kind", "score"))
         miss = F.sum(F.log(F.greatest(1.0 - F.col("score"), F.lit(1e-9))))
         scores = cut(unknown.join(kept, "pattern").groupBy("value", "kind").agg((1.0 - F.exp(miss)).alias("score")))
