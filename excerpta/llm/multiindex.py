@@ -306,38 +306,46 @@ def _cells(column: pa.Array) -> np.ndarray:
 def linked_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: ``id, n_links, component``.
 
-    Vectors that are null, zero or hold null or non-finite components link with nothing. Only vectors of the
-    commonest length are compared. Equal vectors always link; rows that repeat an id count as further
-    vectors. Rows with a null id have no component but count as links of others.
+    Vectors that are null, zero or hold null or non-finite components link with nothing. Only vectors of one
+    length are compared, each length by an index of its own. Equal vectors always link; rows that repeat an id
+    count as further vectors. Rows with a null id have no component but count as links of others.
     """
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
     base = base.withColumn("ok", usable(F.col("v")))
-    size = base.filter("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    alone = lambda df: df.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    if size is None or size["d"] < 2:
-        return alone(base)
-    ok = F.col("ok") & (F.size("v") == size["d"])
-    good, rest = base.filter(ok).select("id", "v"), base.filter(~ok | F.col("v").isNull())
+    out = base.filter(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    for (d,) in base.filter("ok").select(F.size("v").alias("d")).distinct().orderBy("d").collect():
+        good = base.filter(F.col("ok") & (F.size("v") == d)).select("id", "v")
+        out = out.unionByName(_linked_signs(good) if d == 1 else _linked_of_length(good, threshold))
+    return out
+
+
+def _linked_signs(good: DataFrame) -> DataFrame:
+    """Vectors of length 1: the cosine is the product of the signs."""
+    sign = F.signum(F.get("v", F.lit(0)).cast("double"))
+    of = good.groupBy(sign.alias("sign")).agg(F.min("id").alias("component"), (F.count("*") - 1).alias("n_links"))
+    return good.join(F.broadcast(of), sign == F.col("sign")).select("id", "n_links", "component")
+
+
+def _linked_of_length(good: DataFrame, threshold: float) -> DataFrame:
     groups = cut(good.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
     n = groups.count()
     drawn = groups.orderBy(F.xxhash64(F.lit(SEED), "v")).select("id", "v", "n").limit(SAMPLE).collect()
     sample = np.array([r["v"] for r in drawn], np.float64)
     index = fit(sample / np.linalg.norm(sample, axis=1, keepdims=True), n, threshold)
     index.visits, *_ = visits_for(index, groups, drawn[:MEASURED], threshold)
-    spread = groups.select("id", "v", "n").repartition(parallelism(rows))
+    spread = groups.select("id", "v", "n").repartition(parallelism(good))
     # a row for each centroid, at most MOST_CENTROIDS
     blocks = F.broadcast(spread.select("v").mapInArrow(_homes(index), "part int").groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     dealt = spread.mapInArrow(_deal(index), "part int, query int, id long, v array<float>, n long, cells array<int>")
     own = dealt.join(blocks, "part", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.explode(F.when(F.col("query") == 0, F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    laid = own.select("part", "block", "query", "id", "v", "n", "cells").repartition(parallelism(rows), "part", "block").sortWithinPartitions("part", "block", "query")
+    laid = own.select("part", "block", "query", "id", "v", "n", "cells").repartition(parallelism(good), "part", "block").sortWithinPartitions("part", "block", "query")
     found = cut(laid.mapInArrow(_search(threshold, len(index.second)), "id long, links long, other long"))
     sums = found.filter("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(found.filter("other is not null").select("id", "other")).select(F.col("node").alias("id"), "root")
     named = groups.join(sums, "id", "left").join(roots, "id", "left").select("v", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root"))
     component = named.groupBy("root").agg(F.min("least").alias("component"))
     of = named.join(component, "root").select(F.col("v").alias("gv"), (F.col("links") + F.col("n") - 1).alias("n_links"), "component")
-    out = good.join(of, F.col("v") == F.col("gv")).select("id", "n_links", "component")
-    return out.unionByName(alone(rest))
+    return good.join(of, F.col("v") == F.col("gv")).select("id", "n_links", "component")
 
 
 def op7(rows: DataFrame) -> DataFrame:

@@ -18,3 +18,15 @@ def test_recall_where_vectors_vary_in_few_directions(spark):
     links = (u @ u.T >= multiindex.THRESHOLD).sum(axis=1) - 1
     found = np.array([found[i] for i in range(len(x))])
     assert (found <= links).all() and found.sum() >= 0.96 * links.sum()
+
+
+def test_every_length_links_on_its_own(spark):
+    rng = np.random.default_rng(4)
+    long, short = rng.normal(size=(30, 16)).tolist(), rng.normal(size=(5, 2)).tolist()
+    vectors = [*long, *short, *short, *long[:3], [2.0], [-1.0], [3.0], [0.0], None]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in multiindex.op7(df).collect()}
+    assert len(got) == len(vectors)
+    assert all(got[35 + i][0] > 0 and not got[35 + i][2] for i in range(8))
+    assert got[43] == (1, 43, True) and got[44] == (0, 44, True) and got[45] == (1, 43, False)
+    assert got[46] == (0, 46, True) and got[47] == (0, 47, True)
