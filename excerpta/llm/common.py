@@ -18,16 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a temporary folder."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="excerpta-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there from now on.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-    temporary folder is taken. The files are replicated like any file of that store, so a lost executor
-    costs nothing but the tasks it was running.
+    The files are replicated like any file of that store, so a lost executor costs nothing but the tasks it was
+    running.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="excerpta-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
