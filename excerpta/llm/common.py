@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder: ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a temporary folder."""
+    """The session's checkpoint folder, ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder in local mode (tests, a laptop), else a folder of the warehouse,
+    which executors share as well.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="excerpta-"))
+        own = sc.getConf().get("spark.checkpoint.dir", "")
+        if not own:
+            local = sc.master == "local" or sc.master.startswith("local[")
+            own = tempfile.mkdtemp(prefix="excerpta-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
@@ -36,6 +49,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a frame that ``cut`` made and that nothing reads any more."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, after which the worker gives the memory that it has freed back to the system.
+
+    Workers stay alive for later tasks, beside the heap of an executor that is working on something else by then.
+    """
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def fresh(base: str = "x") -> str:
     """A column name that no input table has."""
     return f"__{base}_{uuid.uuid4().hex[:8]}"

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, dropped, tidy
 
 #: Links that a task contracts together.
 LOCAL_LINKS = 500_000
@@ -71,12 +71,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns[:2]
     e = links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = cut(e.mapInArrow(_contract, "hi long, lo long").distinct())
+    e = cut(e.mapInArrow(tidy(_contract), "hi long, lo long").distinct())
     seen = None
     for _ in range(MAX_ROUNDS):
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if now == seen or not now[0]:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
         seen = now
-        e = cut(_small_star(_large_star(e)))
+        last, e = e, cut(_small_star(_large_star(e)))
+        dropped(last)
     raise RuntimeError("components did not settle")

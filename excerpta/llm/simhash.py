@@ -3,14 +3,14 @@
 A document's 64-bit SimHash is cut into three segments of 23, 23 and 18 bits, each a word of the perfect
 (23, 12) Golay code's space (the last one padded with zeros). A word lies within 3 bits of exactly one
 codeword and, if it lies at 3 bits, within 4 bits of five more. Two words at distance 2 or less always share
-a codeword within 4 bits of both: the nearest one to a word midway. Two words at distance 1 have different
-parity, and the nearest codeword of the even one is always within 4 bits of the odd one.
+a codeword within 4 bits of both: the nearest one to a word midway.
 
 If two fingerprints differ in at most 4 bits, the errors e1 <= e2 <= e3 of their segments have e1 + 2 * e2
-<= 4, so either e1 = 0 and e2 <= 2, or e1 = e2 = 1. Each fingerprint therefore gives the keys
+<= 4, so either e1 = 0 and e2 <= 2, or e1 = e2 = 1 and e3 <= 2. Each fingerprint therefore gives the keys
 * (segment X exactly, codeword near segment Y) for each ordered pair X, Y: at most 36, and
-* (codeword near X, codeword near Y) for each pair, the nearest one only where the segment's parity is even,
-and equal keys bring every pair of linked fingerprints together, whatever the data. Each candidate is then
+* (codeword near each of the three segments): at most 216, about 150 of 36 bits,
+and equal keys bring every pair of linked fingerprints together, whatever the data. All keys are 30 bits and
+more, so that groups stay small up to billions of fingerprints. Each candidate is then
 verified by counting the differing bits. Only distinct fingerprints are joined, and a key's group gives a
 spanning forest of its links, never all its pairs.
 """
@@ -24,10 +24,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism
+from .common import cut, parallelism, tidy
 from .components import connected_components
 
 SHINGLE = 4
@@ -100,7 +100,6 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, row of ``fps``) for every key of every fingerprint."""
     seg = [(fps >> np.uint64(a) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
     near = [near_codewords(x) for x in seg]
-    odd = [np.bitwise_count(x) & 1 for x in seg]
     keys, rows, kind = [], [], 0
     slots = np.arange(6)
     for x in range(3):
@@ -110,20 +109,18 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 keys.append(kind << 50 | seg[x][r] << 12 | near[y][0][r, c])
                 rows.append(r)
                 kind += 1
-    for x, y in combinations(range(3), 2):
-        nx, ny = (np.where(odd[i] == 1, near[i][1], 1) for i in (x, y))
-        r, c = np.nonzero(np.arange(36) < (nx * ny)[:, None])
-        i, j = c // ny[r], c % ny[r]
-        keys.append(kind << 50 | near[x][0][r, i] << 12 | near[y][0][r, j])
-        rows.append(r)
-        kind += 1
+    (w0, n0), (w1, n1), (w2, n2) = near
+    r, c = np.nonzero(np.arange(216) < (n0 * n1 * n2)[:, None])
+    i, rest = c // (n1 * n2)[r], c % (n1 * n2)[r]
+    keys.append(kind << 50 | w0[r, i] << 24 | w1[r, rest // n2[r]] << 12 | w2[r, rest % n2[r]])
+    rows.append(r)
     return np.concatenate(keys), np.concatenate(rows)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.array([simhash64(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], ["id", "text_key", "fp"])
 
 
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,43 +190,62 @@ def _verified_links(most: int):
 
 
 def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp`` (bigint bit pattern) of every row."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "id long, fp long")
+    """``id, text_key, fp`` (bigint bit pattern) of every row."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("text_key")).mapInArrow(tidy(_fingerprints), "id long, text_key long, fp long")
 
 
 def fingerprint_links(fps: DataFrame, most: int = MAX_DIFFERENT_BITS) -> DataFrame:
     """``a, b``: links (a spanning forest within each key's group) between the distinct values of column ``fp``."""
     if not 0 <= most <= MAX_DIFFERENT_BITS:
         raise ValueError("the keys bring together fingerprints that differ in up to 4 bits")
-    keys = fps.select("fp").repartition(parallelism(fps), "fp").mapInArrow(_emit_keys, "key long, fp long")
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_verified_links(most), "a long, b long")
+    keys = fps.select("fp").repartition(parallelism(fps), "fp").mapInArrow(tidy(_emit_keys), "key long, fp long")
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_verified_links(most)), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_DIFFERENT_BITS) -> DataFrame:
-    """One row per document: ``id, fp, component`` (the least id that links lead to, its own included).
+    """One row per document: ``id, text_key, fp, component`` (the least id that links lead to, its own included).
 
     Null texts count as empty; all texts without words have fingerprint zero and link like any other. Repeated
     rows stay repeated. Rows whose id is null keep their row; a component of null ids only has a null component.
     """
     prints = cut(simhash_fingerprints(docs, id_col, text_col))
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(fingerprint_links(distinct, most)).select(F.col("node").alias("fp"), "root")
-    of_print = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = of_print.groupBy("root").agg(F.min("least").alias("component"))
-    named = of_print.join(of_root, "root").select("fp", "component")
-    return prints.join(named, "fp", "left").select("id", "fp", "component")
+    named = with_components(distinct, connected_components(fingerprint_links(distinct, most)), "fp")
+    return prints.join(named, "fp", "left").select("id", "text_key", "fp", "component")
 
 
-def least_of_each(docs: DataFrame, own: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose id names their ``component`` in ``own``, once each, with all their columns; rows without an id stay."""
-    gone = own.filter("id is not null and id <> component").select(F.col("id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
+def with_components(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """``node, component`` of every row of ``nodes`` (``node``, all different, and ``least``): the least ``least`` of its component, by ``roots`` (``node, root``).
+
+    The joins' sides are written tables, so that adaptive execution can split a component with a third of all nodes.
+    """
+    linked = cut(nodes.join(roots.select(F.col("node").alias(node), "root"), node).select(node, "root", "least"))
+    of_root = cut(linked.groupBy("root").agg(F.min("least").alias("component")))
+    named = linked.join(of_root, "root").select(node, "component")
+    return cut(nodes.join(named, node, "left").select(node, F.coalesce("component", "least").alias("component")))
+
+
+def least_of_each(docs: DataFrame, own: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are the least of their component in ``own`` (``id, text_key, component``), with all their columns.
+
+    ``text_key`` tells rows that share an id apart: each is judged by its own component, so that no text is lost
+    for the sake of another with its id. Rows equal in id and text are one row. Rows without an id stay.
+    """
+    key = text_key(text_col)
+    gone = own.filter("id <> component").select(F.col("id").alias("__gone"), F.col("text_key").alias("__gone_key")).distinct()
+    keyed = docs.withColumn("__key", key)
+    kept = keyed.join(gone, (F.col(id_col) == F.col("__gone")) & (F.col("__key") == F.col("__gone_key")), "left_anti")
+    once = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, "__key"])
+    return once.unionByName(kept.filter(F.col(id_col).isNull())).select(*docs.columns)
+
+
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_DIFFERENT_BITS) -> DataFrame:
-    """The documents whose id names their component, once each, with all their columns; rows without an id stay."""
-    return least_of_each(docs, simhash_components(docs, id_col, text_col, most), id_col)
+    """The least document of each component, with all columns; see ``least_of_each``."""
+    return least_of_each(docs, simhash_components(docs, id_col, text_col, most), id_col, text_col)
 
 
 def op6(docs: DataFrame) -> DataFrame:
