@@ -13,8 +13,10 @@ groups taken in descending order, each suffix pointing to the nearest suffix bef
 lifting that one in its own group by how often it is pointed to; then one pass over the array being filled
 places each suffix at the front of its group.
 
-Equal texts are one text: all but those of least id lose every byte, if they are long enough to hold a string.
-Anchors, contexts and answers travel in packed blocks by anchor hash. Texts travel compressed.
+Equal texts are one text, known by a 64-bit hash that is checked to tell all texts apart: of each, one row
+carries it, compressed, to where its answers come; the other rows carry their lengths only. Copies lose every
+byte if they are long enough to hold a string. Anchors, contexts and answers travel in packed blocks by anchor
+hash, one bucket a task. Long texts are worked on in stretches.
 """
 
 from __future__ import annotations
@@ -28,14 +30,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism, text_or_empty
+from .common import parallelism, text_or_empty, tidy
 
 LENGTH, GRAM = 50, 32
 SIDE = LENGTH - GRAM
 #: Symbols of a context and the separator after it.
 WIDE = 2 * SIDE + 2
-#: Symbols that one suffix array takes, and contexts of one anchor beyond which they are compared window by window.
-ARRAY_SYMBOLS, HOT_CONTEXTS = 200_000, 10_000
+#: Symbols that one suffix array takes. More contexts of one anchor are told apart by more of their bytes first.
+ARRAY_SYMBOLS = 200_000
+#: Bytes of a long text whose anchors are sought at a time.
+STRETCH = 4_000_000
 #: Bytes of a hash that are sent to find repeated anchors, besides its bucket. Chance matches only add work.
 TOKEN_BYTES = 4
 #: Bytes of text, and documents, that a task packs together.
@@ -55,8 +59,21 @@ def _slide(a: np.ndarray, n: int, f) -> np.ndarray:
 
 def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of a text's anchors. Of equal hashes in one string all count."""
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for lo in range(0, len(b), STRETCH):
+        # every string that holds a place of this stretch lies between these ends
+        start = max(0, lo - SIDE)
+        at, h = _anchors(b[start : lo + STRETCH + LENGTH - 1])
+        own = (at + start >= lo) & (at + start < lo + STRETCH)
+        places.append(at[own] + start)
+        hashes.append(h[own])
+    return np.concatenate(places), np.concatenate(hashes)
+
+
+def _anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(b) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    b = np.ascontiguousarray(b)
     word = np.lib.stride_tricks.as_strided(b, (len(b) - 7, 8), (1, 1)).copy().view(np.uint64).ravel()
     n = len(b) - GRAM + 1
     with np.errstate(over="ignore"):
@@ -173,15 +190,50 @@ def _earliest_by_array(token: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> n
     return out
 
 
-def _earliest_by_window(ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The same for one anchor with very many contexts: each of the strings sorted on its own."""
-    out = np.empty((len(ctx), SIDE + 1), np.int64)
-    for j in range(SIDE + 1):
-        part = np.ascontiguousarray(ctx[:, j : SIDE + j]).astype(np.uint16)
-        _, of = np.unique(part, axis=0, return_inverse=True)
-        least = np.full(of.max() + 1, _LAST)
-        np.minimum.at(least, of.ravel(), doc)
-        out[:, j] = least[of.ravel()]
+def _earliest(token: np.ndarray, ctx: np.ndarray, doc: np.ndarray, lo: int = 0, hi: int = SIDE) -> np.ndarray:
+    """For each distinct context, sorted by token, the least document that has each of its strings.
+
+    The string that begins ``l`` bytes before the anchor needs those bytes and the ``SIDE - l`` after it. Contexts
+    that share enough for no ``l`` in lo..hi with another one of their anchor have such strings for themselves.
+    The others go to suffix arrays; too many of one anchor are told apart for half of the ``l`` at a time.
+    """
+    out = np.repeat(doc[:, None], SIDE + 1, axis=1)
+    if lo == hi:
+        parts = [(lo, lo)]
+    else:
+        parts = [(lo, (lo + hi) // 2), ((lo + hi) // 2 + 1, hi)]
+    group, may = [], np.zeros(len(ctx), bool)
+    for a, b in parts:
+        sig = np.ascontiguousarray(np.concatenate((token[:, None].astype(np.int64).view(np.int16).reshape(len(ctx), 4), ctx[:, SIDE - a : 2 * SIDE - b]), axis=1))
+        _, of, n = np.unique(sig.view([("", f"V{sig.shape[1] * 2}")]).ravel(), return_inverse=True, return_counts=True)
+        group.append(of.ravel())
+        may |= n[of.ravel()] > 1
+    if lo == hi:  # equal strings are one
+        least = np.full(group[0].max(initial=0) + 1, _LAST)
+        np.minimum.at(least, group[0], doc)
+        out[:, SIDE - lo] = least[group[0]]
+        return out
+    pick = np.flatnonzero(may)
+    if not len(pick):
+        return out
+    edges = np.flatnonzero(np.concatenate(([True], token[pick][1:] != token[pick][:-1])))
+    ends = np.append(edges[1:], len(pick))
+    many = (ends - edges) * WIDE > ARRAY_SYMBOLS
+    for a, b in zip(edges[many], ends[many]):
+        p = pick[a:b]
+        for (x, y), of in zip(parts, group):
+            order = p[np.argsort(of[p], kind="stable")]
+            out[order] = np.minimum(out[order], _earliest(of[order], ctx[order], doc[order], x, y))
+    edges, ends = edges[~many], ends[~many]
+    a = 0
+    while a < len(edges):
+        b, size = a, 0
+        while b < len(edges) and (b == a or (size + ends[b] - edges[b]) * WIDE <= ARRAY_SYMBOLS):
+            size += ends[b] - edges[b]
+            b += 1
+        p = np.concatenate([pick[x:y] for x, y in zip(edges[a:b], ends[a:b])])
+        out[p] = _earliest_by_array(np.unique(token[p], return_inverse=True)[1].ravel(), ctx[p], doc[p])
+        a = b
     return out
 
 
@@ -195,10 +247,11 @@ def _buckets(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _emit_anchors(n_buckets: int):
-    """(bucket, n, n_docs, block): the low bytes of the hashes, the texts' numbers in the block, their hashes."""
+    """(bucket, n, docs, block): the low bytes of the hashes text by text, how many each text has, the texts' own hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[int] = []
+        met: set[int] = set()
         hashes: list[np.ndarray] = []
         size = 0
 
@@ -209,24 +262,30 @@ def _emit_anchors(n_buckets: int):
             b = _buckets(h, n_buckets)
             order = np.argsort(b, kind="stable")
             cuts = np.searchsorted(b[order], np.arange(n_buckets + 1))
+            rids = np.array(keys, np.int64)
             rows = []
             for k in np.flatnonzero(np.diff(cuts)):
                 pick = order[cuts[k] : cuts[k + 1]]
-                docs, number = np.unique(of[pick], return_inverse=True)
+                edges = np.flatnonzero(np.concatenate(([True], of[pick][1:] != of[pick][:-1])))
+                docs, sizes = of[pick][edges], np.diff(np.append(edges, len(pick)))
                 low = h[pick].view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
-                raw = b"".join((low.tobytes(), number.astype(np.uint16).tobytes(), np.array(keys, np.int64)[docs].tobytes()))
+                raw = b"".join((low.tobytes(), rids[docs].tobytes(), _narrow(sizes)))
                 rows.append((int(k), len(pick), len(docs), raw))
             keys.clear()
+            met.clear()
             hashes.clear()
             size = 0
             return pa.RecordBatch.from_pylist([dict(zip(("bucket", "n", "docs", "block"), r)) for r in rows], schema=pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("docs", pa.int32()), ("block", pa.binary())]))
 
         for batch in batches:
             for key, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if key in met:
+                    continue
                 b = np.frombuffer(cell.as_buffer() or b"", np.uint8) if cell.is_valid else np.zeros(0, np.uint8)
                 _, h = anchors(b)
                 if len(h):
                     keys.append(key)
+                    met.add(key)
                     hashes.append(np.unique(h))
                     size += len(b)
                     if size >= PACK_BYTES or len(keys) >= PACK_DOCS:
@@ -237,34 +296,37 @@ def _emit_anchors(n_buckets: int):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks sorted by bucket in; (rid, h) of the anchors that two texts have. h is the bucket and the low bytes."""
-    bucket, tokens, docs = None, [], []
+def _narrow(sizes: np.ndarray) -> bytes:
+    """Counts, a byte each, those of 255 and more as four bytes at the end."""
+    return np.minimum(sizes, 255).astype(np.uint8).tobytes() + sizes[sizes >= 255].astype(np.int32).tobytes()
 
-    def solve() -> pa.RecordBatch:
-        t, d = np.concatenate(tokens), np.concatenate(docs)
-        order = np.argsort(t, kind="stable")
-        t, d = t[order], d[order]
-        at = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        two = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
-        keep = np.repeat(two, np.diff(np.append(at, len(t))))
-        return pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array((np.int64(bucket) << 8 * TOKEN_BYTES) | t[keep].astype(np.int64))], ["rid", "h"])
 
+def _widened(raw: bytes, m: int, at: int) -> np.ndarray:
+    sizes = np.frombuffer(raw, np.uint8, m, at).astype(np.int64)
+    full = sizes == 255
+    sizes[full] = np.frombuffer(raw, np.int32, int(full.sum()), at + m)
+    return sizes
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a bucket in; (rid, h) of the anchors that two texts have. h is the bucket and the low bytes."""
+    blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         for r in range(batch.num_rows):
             k, n, m = (batch.column(i)[r].as_py() for i in range(3))
-            if k != bucket and tokens:
-                yield solve()
-                tokens, docs = [], []
-            bucket = k
             raw = batch.column(3)[r].as_py()
             low = np.zeros((n, 8), np.uint8)
             low[:, :TOKEN_BYTES] = np.frombuffer(raw, np.uint8, TOKEN_BYTES * n).reshape(n, TOKEN_BYTES)
-            number = np.frombuffer(raw, np.uint16, n, TOKEN_BYTES * n)
-            tokens.append(low.view(np.uint64).ravel())
-            docs.append(np.frombuffer(raw, np.int64, m, (TOKEN_BYTES + 2) * n)[number])
-    if tokens:
-        yield solve()
+            rids = np.repeat(np.frombuffer(raw, np.int64, m, TOKEN_BYTES * n), _widened(raw, m, (TOKEN_BYTES * n) + 8 * m))
+            blocks.setdefault(k, []).append((low.view(np.uint64).ravel(), rids))
+    for k in list(blocks):
+        t, d = (np.concatenate(x) for x in zip(*blocks.pop(k)))
+        order = np.argsort(t, kind="stable")
+        t, d = t[order], d[order]
+        at = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        two = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
+        keep = np.repeat(two, np.diff(np.append(at, len(t))))
+        yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array((np.int64(k) << 8 * TOKEN_BYTES) | t[keep].astype(np.int64))], ["rid", "h"])
 
 
 def _emit_contexts(n_buckets: int):
@@ -287,7 +349,7 @@ def _emit_contexts(n_buckets: int):
             return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("block", pa.binary())]))
 
         for batch in batches:
-            for key, rid, z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            for rid, key, z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 b = np.frombuffer(unzip.decompress(z.as_py()), np.uint8)
                 at, h = anchors(b)
                 own = (_buckets(h, n_buckets) << 8 * TOKEN_BYTES) | (h & np.uint64((1 << 8 * TOKEN_BYTES) - 1)).astype(np.int64)
@@ -318,32 +380,9 @@ def _solve(h: np.ndarray, key: np.ndarray, rid: np.ndarray, at: np.ndarray, ctx:
     order = np.argsort(dh, kind="stable")
     starts = np.flatnonzero(np.concatenate(([True], dh[order][1:] != dh[order][:-1])))
     sizes = np.diff(np.append(starts, len(order)))
-    earliest = np.repeat(least[:, None], SIDE + 1, axis=1)
     token = np.repeat(np.arange(len(starts)), sizes)
-    # contexts that share half of a side with no other context of their anchor have no string in common with one
-    half = SIDE // 2
-    may = np.zeros(len(order), bool)
-    for part in (dctx[order][:, SIDE - half : SIDE], dctx[order][:, SIDE : SIDE + half]):
-        sig = np.ascontiguousarray(np.concatenate((token[:, None].astype(np.int64).view(np.int16).reshape(len(order), 4), part), axis=1))
-        _, n_of, n = np.unique(sig.view([("", f"V{sig.shape[1] * 2}")]).ravel(), return_inverse=True, return_counts=True)
-        may |= n[n_of] > 1
-    pick, ptoken = order[may], token[may]
-    if len(pick):
-        edges = np.flatnonzero(np.concatenate(([True], ptoken[1:] != ptoken[:-1])))
-        ends = np.append(edges[1:], len(pick))
-        a = 0
-        while a < len(edges):
-            if ends[a] - edges[a] > HOT_CONTEXTS:
-                p = pick[edges[a] : ends[a]]
-                earliest[p] = _earliest_by_window(dctx[p], least[p])
-                a += 1
-                continue
-            b = a + 1
-            while b < len(edges) and ends[b] - edges[b] <= HOT_CONTEXTS and (ends[b] - edges[a]) * WIDE <= ARRAY_SYMBOLS:
-                b += 1
-            p = pick[edges[a] : ends[b - 1]]
-            earliest[p] = _earliest_by_array(ptoken[edges[a] : ends[b - 1]] - ptoken[edges[a]], dctx[p], least[p])
-            a = b
+    earliest = np.empty((len(first), SIDE + 1), np.int64)
+    earliest[order] = _earliest(token, dctx[order], least[order])
     # strings that reach over an end of the text are none
     inside = np.ones((len(dctx), SIDE + 1), bool)
     for j in range(SIDE + 1):
@@ -354,77 +393,98 @@ def _solve(h: np.ndarray, key: np.ndarray, rid: np.ndarray, at: np.ndarray, ctx:
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bucket, parts = None, []
+    """Blocks of a bucket in; the answers of its anchors."""
     unzip = zstandard.ZstdDecompressor()
-
-    def solve() -> pa.RecordBatch:
-        rid, at, bits = _solve(*(np.concatenate([p[i] for p in parts]) for i in range(5)))
-        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(at.astype(np.int32)), pa.array(bits.astype(np.int32))], ["rid", "at", "bits"])
-
+    blocks: dict[int, list[tuple[np.ndarray, ...]]] = {}
     for batch in batches:
         for r in range(batch.num_rows):
-            k, n = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-            if k != bucket and parts:
-                yield solve()
-                parts = []
-            bucket = k
+            n = batch.column(1)[r].as_py()
             raw = unzip.decompress(batch.column(2)[r].as_py())
-            parts.append((np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int64, n, 16 * n), np.frombuffer(raw, np.int32, n, 24 * n), np.frombuffer(raw, np.int16, n * 2 * SIDE, 28 * n).reshape(n, 2 * SIDE)))
-    if parts:
-        yield solve()
+            blocks.setdefault(batch.column(0)[r].as_py(), []).append((np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int64, n, 16 * n), np.frombuffer(raw, np.int32, n, 24 * n), np.frombuffer(raw, np.int16, n * 2 * SIDE, 28 * n).reshape(n, 2 * SIDE)))
+    for k in list(blocks):
+        rid, at, bits = _solve(*(np.concatenate(x) for x in zip(*blocks.pop(k))))
+        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(at.astype(np.int32)), pa.array(bits.astype(np.int32))], ["rid", "at", "bits"])
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     zip_ = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([zip_.compress(x.as_py().encode("utf-8", "surrogatepass")) for x in b.column(3)], pa.binary())], ["id", "key", "rid", "z"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([zip_.compress(x.as_buffer() or b"") for x in b.column(2)], pa.binary())], ["rid", "key", "z"])
+
+
+def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places (exclusive) of the bytes that strings at these sorted starts cover."""
+    first = np.flatnonzero(np.concatenate(([True], starts[1:] > starts[:-1] + LENGTH))[: len(starts)])
+    return starts[first], np.append(starts[first[1:] - 1], starts[-1:]) + LENGTH
 
 
 def _finish(with_text: bool):
+    """What is left of each text by its answers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for i, z, marks, copy in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
+            for rid, least, z, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 raw = unzip.decompress(z.as_py())
-                edge = np.zeros(len(raw) + 1, np.int32)
-                if copy and len(raw) >= LENGTH:  # every string of it starts in the first document with this text
-                    edge[0] = 1
-                elif marks.is_valid:
+                starts = np.zeros(0, np.int64)
+                if marks.is_valid:
                     at, bits = marks.values.field(0).to_numpy(), marks.values.field(1).to_numpy()
                     r, j = np.nonzero(bits[:, None] >> np.arange(SIDE + 1) & 1)
-                    s = np.unique(at[r] - SIDE + j)
-                    np.add.at(edge, s, 1)
-                    np.add.at(edge, s + LENGTH, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                row = {"id": i.as_py(), "n_bytes": len(raw), "n_removed": int(gone.sum()), "n_spans": int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+                    starts = np.unique(at[r] - SIDE + j)
+                a, b = _runs(starts)
+                kept = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)]))
+                row = {"rid": rid, "least": least, "n_removed": len(raw) - len(kept), "n_spans": len(a), "kept_sha256": hashlib.sha256(kept).hexdigest()}
                 out.append(row | {"kept": kept} if with_text else row)
-            fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+            fields = [("rid", pa.int64()), ("least", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([*fields, *[("kept", pa.binary())] * with_text]))
 
     return run
 
 
+def named_texts(rows: DataFrame) -> DataFrame:
+    """``rows`` with a bigint ``rid`` for column ``text``: equal texts have equal ones, others different ones.
+
+    A 64-bit hash, checked against a second one. Texts that share the first with another text (about the
+    square of the number of texts divided by 2^65: none in most corpora, three of 10^10) take the second.
+    """
+    clashing: list[int] = []
+    while True:
+        one, two = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+        rid = F.when(one.isin(clashing), two).otherwise(one) if clashing else one
+        named = rows.withColumn("rid", rid)
+        more = [r[0] for r in named.select("rid", two.alias("h")).groupBy("rid").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("rid").collect()]
+        if not more:
+            return named
+        clashing += more
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per input row: ``id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked, the ``kept`` bytes.
 
-    Null texts are empty. Rows that share an id have nothing removed for each other's sake. Texts are told apart by 64-bit hashes. A null id counts as
-    greater than all others. Texts shorter than the string length stay whole.
+    Null texts are empty. Rows that share an id have nothing removed for each other's sake. A null id counts as
+    greater than all others. Texts shorter than the string length stay whole. An empty table gives no rows. A
+    task holds one text at a time and about fifty bytes for each byte of a stretch of it.
     """
     n = parallelism(docs)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.xxhash64(text_or_empty(text_col)).alias("rid"), text_or_empty(text_col).alias("text"))
-    first = cut(rows.groupBy("rid").agg(F.min("key").alias("least")))
-    blocks = rows.select("rid", F.col("text").cast("binary")).mapInArrow(_emit_anchors(n), "bucket int, n int, docs int, block binary")
-    repeated = blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "rid long, h long")
-    wanted = repeated.groupBy("rid").agg(F.collect_list("h").alias("wanted")).join(first, "rid")
-    texts = rows.mapInArrow(_compress, "id long, key long, rid long, z binary")
-    around = texts.select("key", "rid", "z").join(wanted, "rid").filter("key = least").select("key", "rid", "z", "wanted").mapInArrow(_emit_contexts(n), "bucket int, n int, block binary")
-    answers = around.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answers, "rid long, at int, bits int")
-    marks = cut(answers.groupBy("rid").agg(F.collect_list(F.struct("at", "bits")).alias("marks")).join(first, "rid", "right"))
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return texts.join(marks, "rid", "left").select("id", "z", "marks", (F.col("key") > F.col("least")).alias("copy")).mapInArrow(_finish(with_text), schema)
+    rows = named_texts(docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), text_or_empty(text_col).alias("text")))
+    blocks = rows.select("rid", F.col("text").cast("binary")).mapInArrow(tidy(_emit_anchors(n)), "bucket int, n int, docs int, block binary")
+    repeated = blocks.repartitionById(n, "bucket").mapInArrow(tidy(_repeated), "rid long, h long")
+    wanted = repeated.groupBy("rid").agg(F.collect_list("h").alias("wanted"))
+    # one row a text; both joins below read the one shuffle of it
+    texts = rows.select("rid", "key", F.col("text").cast("binary")).mapInArrow(tidy(_compress), "rid long, key long, z binary").groupBy("rid").agg(F.min("key").alias("least"), F.first("z").alias("z"))
+    around = texts.join(wanted, "rid").select("rid", "least", "z", "wanted").mapInArrow(tidy(_emit_contexts(n)), "bucket int, n int, block binary")
+    answers = around.repartitionById(n, "bucket").mapInArrow(tidy(_answers), "rid long, at int, bits int")
+    marks = answers.groupBy("rid").agg(F.collect_list(F.struct("at", "bits")).alias("marks"))
+    schema = "rid long, least long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    of_text = texts.join(marks, "rid", "left").select("rid", "least", "z", "marks").mapInArrow(tidy(_finish(with_text)), schema)
+    light = rows.select("id", "key", "rid", F.octet_length("text").cast("long").alias("n_bytes"))
+    # every string of a later copy starts in the first row with its text
+    gone = (F.col("key") > F.col("least")) & (F.col("n_bytes") >= LENGTH)
+    pick = lambda c, other: F.when(gone, other).otherwise(F.col(c)).alias(c)
+    out = [pick("n_removed", F.col("n_bytes")), pick("n_spans", F.lit(1).cast("long")), pick("kept_sha256", F.lit(hashlib.sha256(b"").hexdigest()))]
+    return light.join(of_text, "rid").select("id", "n_bytes", *out, *[pick("kept", F.lit(b""))] * with_text)
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -229,10 +229,42 @@ def test_repeats(docs, rows, empty):
     assert got == brute_repeats([(r[0], r[1]) for r in rows]) and suffixes.op5(empty).count() == 0
 
 
-def test_hot_contexts_agree(monkeypatch):
+def earliest_by_window(token, ctx, doc):
+    out = np.empty((len(ctx), suffixes.SIDE + 1), np.int64)
+    for j in range(suffixes.SIDE + 1):
+        first = {}
+        for t, c, d in zip(token, ctx, doc):
+            k = (t, *c[j : suffixes.SIDE + j])
+            first[k] = min(first.get(k, d), d)
+        out[:, j] = [first[(t, *c[j : suffixes.SIDE + j])] for t, c in zip(token, ctx)]
+    return out
+
+
+@pytest.mark.parametrize("symbols", [100, 700, 3000, 200_000])
+def test_hot_contexts_agree(monkeypatch, symbols):
+    monkeypatch.setattr(suffixes, "ARRAY_SYMBOLS", symbols)
     rng = np.random.default_rng(3)
-    ctx, doc = rng.integers(2, 4, (300, 2 * suffixes.SIDE)).astype(np.int16), rng.integers(0, 99, 300)
-    assert (suffixes._earliest_by_array(np.zeros(300, np.int64), ctx, doc) == suffixes._earliest_by_window(ctx, doc)).all()
+    ctx, doc = (rng.random((300, 2 * suffixes.SIDE)) < 0.1).astype(np.int16), rng.integers(0, 99, 300)
+    ctx = np.concatenate((ctx, ctx[:40]))
+    ctx[300:, -1] ^= 1
+    doc, token = np.concatenate((doc, rng.integers(0, 99, 40))), np.sort(rng.choice(4, 340, p=[0.7, 0.1, 0.1, 0.1]))
+    assert (suffixes._earliest(token, ctx, doc) == earliest_by_window(token, ctx, doc)).all()
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    b = np.frombuffer(("x" * 200 + prose(9, 3000) + "ab" * 300).encode(), np.uint8)
+    whole = suffixes._anchors(b)
+    for n in (64, 1000, 4097):
+        monkeypatch.setattr(suffixes, "STRETCH", n)
+        assert all((x == y).all() for x, y in zip(suffixes.anchors(b), whole))
+
+
+def test_clashing_hashes_are_told_apart(spark, monkeypatch):
+    first = suffixes.F.xxhash64
+    monkeypatch.setattr(suffixes.F, "xxhash64", lambda *a: first(*a) if len(a) > 1 else F.lit(1).cast("long"))
+    rows = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "text string")
+    got = {r[0]: r[1] for r in suffixes.named_texts(rows).collect()}
+    assert len(set(got.values())) == 3
 
 
 # ---- 6 --------------------------------------------------------------------------------------------------
