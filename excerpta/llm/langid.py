@@ -14,8 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from .common import tidy
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 #: Bounds of the training sample: languages (the commonest ones), documents a language, windows a document.
@@ -38,17 +40,31 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """(lang, piece of text) of the documents of least hash in each language, none of them held out. Bounded by the parameters above."""
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held"), F.xxhash64(F.lit(SEED), F.col(id_col)).alias("h"))
+    """(lang, piece of text) of the documents of least hash in each language, none of them held out. Bounded by the parameters above.
+
+    The documents of a language are counted first (distinct hashes, approximately); only those whose hash is
+    small enough for half as many again as are wanted are gathered. Rows equal in id and text are one.
+    """
+    h = F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col).cast("string"))
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held"), h.alias("h"))
     rows = rows.filter(~F.col("held") & F.col("lang").isNotNull() & (F.length("text") > 0))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    bounds = rows.select("lang", "h").withColumn("r", order).filter(F.col("r") <= TRAIN_DOCS).groupBy("lang").agg(F.max("h").alias("most"), F.count("*").alias("n"))
-    bounds = F.broadcast(bounds.orderBy(F.desc("n"), "lang").limit(TRAIN_LANGS).select(F.col("lang").alias("l"), "most"))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("distinct")).orderBy(F.desc("n"), "lang").limit(TRAIN_LANGS).collect()
+    if not found:
+        return []
+    most = [(r["lang"], -(1 << 63) + min((1 << 64) - 1, int((1.5 * TRAIN_DOCS + 50) / max(1, r["distinct"]) * (1 << 32)) << 32)) for r in found]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(most, "l string, most long"))
     at = lambda k: F.pmod(F.xxhash64("h", k), F.greatest(F.length("text") - WINDOW_BYTES, F.lit(1))).cast("int")
     few = F.least(F.lit(TRAIN_WINDOWS), 1 + F.floor(F.length("text") / WINDOW_BYTES)).cast("int")
     pieces = F.transform(F.sequence(F.lit(1), few), lambda k: F.substring("text", at(k) + 1, F.lit(WINDOW_BYTES)))
     near = rows.join(bounds, (F.col("lang") == F.col("l")) & (F.col("h") <= F.col("most")))
-    return [(r[0], r[1]) for r in near.select("lang", F.explode(pieces).alias("piece")).orderBy("lang", F.xxhash64("piece")).collect()]
+    near = near.select("lang", "h", pieces.alias("pieces")).groupBy("lang", "h").agg(F.first("pieces").alias("pieces"))
+    taken: dict[str, int] = {}
+    out = []
+    for lang, _, texts in sorted(map(tuple, near.collect())):
+        taken[lang] = taken.get(lang, 0) + 1
+        if taken[lang] <= TRAIN_DOCS:
+            out += [(lang, t) for t in texts]
+    return out
 
 
 def windows_of(raw: bytes) -> np.ndarray:
@@ -206,8 +222,12 @@ def _predict(net: ByteConvNet | None):
 
 
 def predicted(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, lang_pred, score`` of every row; ``und`` and 0 where the text is null or has no letter, or nothing was learned."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_predict(net), "id long, lang_pred string, score double")
+    """``id, lang_pred, score`` of every row; ``und`` and 0 where the text is null or has no letter, or nothing was learned.
+
+    Of languages with equal scores the first by code point is taken. Repeated rows each have their row, an
+    empty table gives none. A text is cut into windows as a whole; a step holds 64 of them.
+    """
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_predict(net)), "id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -224,7 +244,7 @@ def keep_identified(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id",
             (found,) = run([pa.RecordBatch.from_arrays([b.column(at), b.column(at)], ["id", "text"])])
             yield b.append_column(flag, pa.array([p != NONE and s >= least for p, s in zip(found.column(1).to_pylist(), found.column(2).to_pylist())]))
 
-    return docs.mapInArrow(keep, StructType([*docs.schema.fields, StructField(flag, BooleanType())])).filter(F.col(flag)).select(*names)
+    return docs.mapInArrow(tidy(keep), StructType([*docs.schema.fields, StructField(flag, BooleanType())])).filter(F.col(flag)).select(*names)
 
 
 def op8(docs: DataFrame) -> DataFrame:
