@@ -37,6 +37,8 @@ CANDIDATE = rf"{PHONE}|{CARD}(?=[^0-9A-Za-z@]|$)|(?<![^\s])[^\s0-9@]*+[0-9@][^\s
 ROUNDS = 3
 #: Smoothing of a pattern's mean, seeds a pattern needs, scores that patterns and values need.
 SMOOTH, LEAST_SEEDS, LEAST_SCORE = 0.5, 5, 0.8
+#: Size up to which the documents with found spans are sent to every executor.
+BROADCAST_BYTES = 8_000_000
 _GROUP = 64
 
 
@@ -201,7 +203,10 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_ch
     rows = tagged.select("__id", "__key", F.col(text_col).cast("string").alias("__t"))
     named = F.struct(F.col("__id"), F.col("__key"))
     found = spans(rows.select(named.alias("who"), F.col("__t")), "who", "__t").filter(F.size("found") > 0)
-    found = found.select(F.col("id.__id").alias("__fid"), F.col("id.__key").alias("__fkey"), F.col("found").alias("__found")).dropDuplicates(["__fid", "__fkey"])
+    found = cut(found.select(F.col("id.__id").alias("__fid"), F.col("id.__key").alias("__fkey"), F.col("found").alias("__found")).dropDuplicates(["__fid", "__fkey"]))
+    n = found.agg(F.sum(16 + 16 * F.size("__found"))).first()[0] or 0
+    if n <= BROADCAST_BYTES:  # else the join moves the texts
+        found = F.broadcast(found)
     out = tagged.join(found, F.col("__id").eqNullSafe(F.col("__fid")) & (F.col("__key") == F.col("__fkey")), "left")
     names = F.array(*map(F.lit, KINDS))
     from_right = F.reverse(F.array_sort(F.transform("__found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k")))))
