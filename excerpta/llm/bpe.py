@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Longest word that is encoded in one piece, bytes of a piece of a longer one, and bytes from which only the newest rows are kept.
 PIECE_BYTES, PIECE, LONG_STRETCH = 64, 32, 768
 #: Code points of text, rows that a recursive query may keep, words of each half of the cache that a worker holds at a time.
@@ -278,7 +280,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, digests: bool = False, id_
     ``path`` is a rank file that every executor can open.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encode(path, pattern, digests), "id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"))
+    return rows.mapInArrow(tidy(_encode(path, pattern, digests)), "id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"))
 
 
 def op10(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

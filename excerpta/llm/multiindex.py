@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism
+from .common import cut, parallelism, tidy
 from .components import connected_components
 
 THRESHOLD = 0.9
@@ -138,7 +138,7 @@ def visits_for(index: Index, groups: DataFrame, sample: list, threshold: float,
     q = np.array([r["v"] for r in sample], np.float64)
     q /= np.abs(q).max(axis=1, keepdims=True)
     q /= np.linalg.norm(q, axis=1, keepdims=True)
-    needs = groups.select("id", "v", "n").repartition(parallelism(groups)).mapInArrow(_needs(index, np.array([r["id"] for r in sample]), q, np.array([r["n"] for r in sample], np.float64), threshold), "query int, need long, links double")
+    needs = groups.select("id", "v", "n").repartition(parallelism(groups)).mapInArrow(tidy(_needs(index, np.array([r["id"] for r in sample]), q, np.array([r["n"] for r in sample], np.float64), threshold)), "query int, need long, links double")
     needs = cut(needs.groupBy("query", "need").agg(F.sum("links").alias("links")))
     total = needs.groupBy("query").agg(F.sum("links").alias("total"))
     rows = sorted(needs.join(total, "query").groupBy("need").agg(F.sum("links"), F.sum(F.col("links") / F.col("total"))).collect())
@@ -335,11 +335,11 @@ def _linked_of_length(good: DataFrame, threshold: float) -> DataFrame:
     index.visits, *_ = visits_for(index, groups, drawn[:MEASURED], threshold)
     spread = groups.select("id", "v", "n").repartition(parallelism(good))
     # a row for each centroid, at most MOST_CENTROIDS
-    blocks = F.broadcast(spread.select("v").mapInArrow(_homes(index), "part int").groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    dealt = spread.mapInArrow(_deal(index), "part int, query int, id long, v array<float>, n long, cells array<int>")
+    blocks = F.broadcast(spread.select("v").mapInArrow(tidy(_homes(index)), "part int").groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    dealt = spread.mapInArrow(tidy(_deal(index)), "part int, query int, id long, v array<float>, n long, cells array<int>")
     own = dealt.join(blocks, "part", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.explode(F.when(F.col("query") == 0, F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     laid = own.select("part", "block", "query", "id", "v", "n", "cells").repartition(parallelism(good), "part", "block").sortWithinPartitions("part", "block", "query")
-    found = cut(laid.mapInArrow(_search(threshold, len(index.second)), "id long, links long, other long"))
+    found = cut(laid.mapInArrow(tidy(_search(threshold, len(index.second))), "id long, links long, other long"))
     sums = found.filter("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(found.filter("other is not null").select("id", "other")).select(F.col("node").alias("id"), "root")
     named = groups.join(sums, "id", "left").join(roots, "id", "left").select("v", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root"))

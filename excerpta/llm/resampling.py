@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 BUCKETS = 10_000
 #: Labelled target documents that the target model is fitted to (those of least hash).
@@ -127,7 +127,7 @@ def log_ratios(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text
     """Log ratio of the smoothed models by bucket; zeros without target text. ``targets``: a column ``id``, at most ``TARGET_DOCS`` rows are used."""
     few = targets.select(F.col("id").alias("__t")).filter("__t is not null").distinct().orderBy(F.xxhash64(F.lit(SEED), "__t")).limit(TARGET_DOCS)
     rows = docs.select(F.col(id_col).cast("long").alias("__d"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), F.col("__d") == F.col("__t"), "left")
-    counts = rows.select("text", F.col("__t").isNotNull().alias("chosen")).mapInArrow(_count, "bucket long, raw long, target long")
+    counts = rows.select("text", F.col("__t").isNotNull().alias("chosen")).mapInArrow(tidy(_count), "bucket long, raw long, target long")
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():
         raw[r[0]], target[r[0]] = r[1], r[2]
@@ -172,7 +172,7 @@ def resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         share = m / n if m else 1.0
     ratios = log_ratios(docs, good.filter("coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("id")), id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    means = rows.mapInArrow(_score(ratios), "id long, mean double")
+    means = rows.mapInArrow(tidy(_score(ratios)), "id long, mean double")
     draw = (F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
     keyed = means.select("id", (F.col("mean") * LENGTH).alias("log_weight"), (F.col("mean") * LENGTH - F.log(-F.log(draw))).alias("key"))
     keyed = cut(keyed.withColumn("o", F.floor(F.greatest(F.lit(-1e6), F.least(F.lit(1e6), F.col("key"))) * float(1 << 40)).cast("long")))
