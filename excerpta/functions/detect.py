@@ -106,3 +106,19 @@ def error_message(type_: Column, error: Column) -> Column:
 def valid_path(path: Column) -> Column:
     """Not empty, no NUL, no path that starts by leaving its folder."""
     return F.coalesce((F.length(path) > 0) & ~F.contains(path, F.chr(F.lit(0))) & ~path.rlike(r"^\.\.(/|\\|$)"), F.lit(False))
+
+
+def is_office(path: Column) -> Column:
+    return T.category_of(extension(path)) == "office"
+
+
+def is_archive(path: Column) -> Column:
+    return T.category_of(extension(path)) == "archive"
+
+
+def is_image(path: Column) -> Column:
+    return T.category_of(extension(path)) == "image"
+
+
+def is_text(path: Column) -> Column:
+    return T.category_of(extension(path)) == "text"

@@ -17,8 +17,13 @@ LOG_BYTES = 4096
 # Windows code pages of RTF, and the text of its symbol words.
 CODE_PAGES = {936: "gbk", 950: "big5", **{n: f"cp{n}" for n in range(1250, 1259)}}
 RTF_SYMBOLS = {
-    "par": "\n", "sect": "\n\n", "page": "\n\n", "line": "\n", "tab": "\t", "emdash": "\u2014", "endash": "\u2013", "emspace": "\u2003", "enspace": "\u2002", "qmspace": "\u2005",
-    "bullet": "\u2022", "lquote": "\u2018", "rquote": "\u2019", "ldblquote": "\u201c", "rdblquote": "\u201d", "row": "\n", "cell": "|", "nestcell": "|", "~": "\u00a0", "\n": "\n", "\r": "\r", "{": "{", "}": "}", "\\": "\\", "-": "\u00ad", "_": "-",
+    "bullet": "*", "emdash": "-", "endash": "-", "lquote": "'", "rquote": "'", "ldblquote": '"', "rdblquote": '"', "line": "\n", "par": "\n", "page": "\n", "sect": "\n", "tab": "\t", "cell": " ", "column": " ", "row": " ",
+    "~": " ", "_": "-", "|": "|", "-": "-", ":": ":", "{": "{", "}": "}", "\\": "\\", "\n": "\n", "\r": "\n",
+}
+#: What ``fixed`` has instead: the signs that the words name, empty lines at sections and pages, bars between cells.
+RTF_SIGNS = {
+    "bullet": "\u2022", "emdash": "\u2014", "endash": "\u2013", "emspace": "\u2003", "enspace": "\u2002", "qmspace": "\u2005", "lquote": "\u2018", "rquote": "\u2019", "ldblquote": "\u201c", "rdblquote": "\u201d",
+    "page": "\n\n", "sect": "\n\n", "cell": "|", "nestcell": "|", "row": "\n", "~": "\u00a0", "-": "\u00ad",
 }
 _RTF_SKIP = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "themedata", "datastore"}
 
@@ -52,9 +57,15 @@ def strip_tags(xml: Column) -> Column:
 
 
 def pgp_slice(text: Column) -> Column:
-    """From the armor's first line through the end of its last one; without armor the first MiB."""
+    """From the armor's first line through the end of its last one, or to the end if it has none; without armor the first MiB."""
     block = F.regexp_extract(text, r"(?s)(-----BEGIN PGP.*?-----END PGP[^\n]*\n?)", 1)
-    return F.when(block != "", block).otherwise(F.substring(text, 1, 1 << 20))
+    at = F.instr(text, F.lit("-----BEGIN PGP"))
+    return F.when(block != "", block).when(at > 0, F.substring(text, at, F.length(text))).otherwise(F.substring(text, 1, 1 << 20))
+
+
+def is_number(text: Column) -> Column:
+    """Whether a text is digits only."""
+    return F.coalesce(text.rlike("^[0-9]+$") & ~F.contains(text, F.lit("\n")), F.lit(False))
 
 
 def pgp_binary(content: Column) -> Column:
@@ -143,12 +154,22 @@ def utf16_units(raw: bytes) -> str:
 
 
 def normalise_csv(raw: bytes | None) -> str:
-    """Records as lines, fields separated by tabs. The separator is the commonest candidate in the raw bytes."""
+    """Records as lines, a line end between them, fields separated by tabs. The separator is the commonest candidate in the raw bytes."""
     raw = raw or b""
     counts = [raw.count(s.encode()) for s in SEPARATORS]
     sep = SEPARATORS[max(range(4), key=lambda i: (counts[i], -i))]
     rows = csv.reader(io.StringIO(decode_text(raw).replace("\0", ""), newline=""), delimiter=sep)
-    return "".join("\t".join(r) + "\n" for r in rows if r)
+    return "\n".join("\t".join(r) for r in rows if r)
+
+
+def pgp_text(raw: bytes) -> str:
+    """``pgp_slice`` of a file's bytes; armor must begin in the first MiB."""
+    begin = raw[: 1 << 20].find(b"-----BEGIN PGP")
+    if begin < 0:
+        return raw[: 1 << 20].decode("utf-8", "replace")
+    last = raw.find(b"-----END PGP", begin)
+    stop = raw.find(b"\n", last) + 1 if last >= 0 else 0
+    return raw[begin : stop or (last + len(b"-----END PGP") if last >= 0 else len(raw))].decode("utf-8", "replace")
 
 
 def unescape(text: str | None) -> str:
@@ -156,9 +177,10 @@ def unescape(text: str | None) -> str:
     return re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)), html.unescape(text or ""))
 
 
-def rtf_text(raw: bytes | None) -> str:
-    """Text of an RTF document in document order. Raises ValueError for what does not start like one."""
+def rtf_text(raw: bytes | None, fixed: bool = False) -> str:
+    """Text of an RTF document in document order. Raises ValueError for what does not start like one. ``fixed``: symbol words give the signs they name."""
     data = (raw or b"").decode("latin-1")
+    symbols = RTF_SYMBOLS | RTF_SIGNS if fixed else RTF_SYMBOLS
     if not data.lstrip().startswith("{\\rtf"):
         raise ValueError("not RTF")
     out: list[str] = []
@@ -191,15 +213,15 @@ def rtf_text(raw: bytes | None) -> str:
                 flush()
                 out.append(chr(int(number) % 65536))
                 skip_left = unicode_skip
-            elif word in RTF_SYMBOLS and not skipping:
+            elif word in symbols and not skipping:
                 flush()
-                out.append(RTF_SYMBOLS[word])
+                out.append(symbols[word])
         elif symbol is not None:
             if symbol == "*":
                 skipping = True
-            elif symbol in RTF_SYMBOLS and not skipping:
+            elif symbol in symbols and not skipping:
                 flush()
-                out.append(RTF_SYMBOLS[symbol])
+                out.append(symbols[symbol])
         elif code is not None:
             if skip_left:
                 skip_left -= 1

@@ -1,8 +1,4 @@
-"""File types as data: categories, MIME types, extractors. One small dimension that detection joins or looks up.
-
-MIME types come from a rule and its exceptions: audio and image extensions are ``audio/x-EXT`` and
-``image/x-EXT`` unless an exception names them.
-"""
+"""File types as data: categories, MIME types, extractors. One small dimension that detection joins or looks up."""
 
 from __future__ import annotations
 
@@ -27,183 +23,346 @@ AUDIO = (
 CODE = "go java py pyw c cpp h hpp cc cxx hh hxx js jsx tsx html htm css scss sass less php rs swift kt kts scala rb vbs pl pm sql xml json yaml yml md markdown sh bash bat ps1".split()
 PLAIN = "txt log ini".split()
 
-# MIME types that the rule doesn't give, with their extensions.
-MIME_EXCEPTIONS = """
-application/msword: doc
-application/vnd.openxmlformats-officedocument.wordprocessingml.document: docx
-application/vnd.oasis.opendocument.text: odt
-application/vnd.oasis.opendocument.text-template: ott
-application/vnd.oasis.opendocument.presentation: odp
-application/vnd.oasis.opendocument.spreadsheet: ods
-application/vnd.ms-excel: xls xlt
-application/vnd.openxmlformats-officedocument.spreadsheetml.sheet: xlsx
-application/vnd.openxmlformats-officedocument.spreadsheetml.template: xltx
-application/vnd.ms-excel.sheet.binary.macroEnabled.12: xlsb
-application/vnd.ms-excel.template.macroEnabled.12: xltm
-application/vnd.ms-excel.addin.macroEnabled.12: xlam
-application/vnd.ms-powerpoint: ppt
-application/vnd.openxmlformats-officedocument.presentationml.presentation: pptx
-application/vnd.openxmlformats-officedocument.presentationml.slideshow: ppsx
-application/vnd.visio: vsd vsdx
-application/pdf: pdf
-application/rtf: rtf
-text/plain: txt log ini in
-text/csv: csv
-application/zip: zip
-application/x-7z-compressed: 7z
-application/vnd.rar: rar
-application/x-tar: tar
-application/gzip: gz
-application/x-bzip2: bz2
-application/x-xz: xz
-application/x-tar-bz2: tar.bz2
-application/x-tar-xz: tar.xz
-application/x-tar-gz: tgz tar.gz
-application/x-rpm: rpm
-application/x-iso9660-image: iso
-application/zipx: zipx
-application/vnd.microsoft.portable-executable: exe dll sys
-application/x-sharedlib: so
-application/x-mach-binary: dylib
-image/png: png
-image/jpeg: jpg jpeg jpe
-image/bmp: bmp
-image/gif: gif
-image/webp: webp
-image/tiff: tif tiff
-image/x-icon: ico cur
-image/svg+xml: svg
-image/vnd.adobe.photoshop: psd psb
-image/heic: heic
-image/heif: heif
-image/jp2: jp2
-image/jpx: jpx jpf
-application/postscript: eps
-video/x-mng: mng
-image/x-portable-bitmap: pbm
-image/x-photo-cd: pcd
-image/x-portable-graymap: pgm
-image/x-portable-anymap: pnm
-image/x-portable-pixmap: ppm
-image/x-pixar: pxr
-image/vnd.wap.wbmp: wbmp
-image/vnd.djvu: djvu
-text/html: html htm
-text/css: css
-application/javascript: js
-application/typescript: ts tsx
-text/jsx: jsx
-text/x-vue: vue
-application/json: json
-application/xml: xml
-application/x-yaml: yaml yml
-audio/midi: mid midi
-audio/wav: wav
-audio/ogg: ogg oga ogx
-audio/mpeg: mp3 mp2
-audio/aac: aac
-audio/ac3: ac3
-audio/aiff: aiff aif
-audio/amb: amb
-audio/amr: amr
-audio/basic: au snd
-audio/x-cvs: cvs cvsd
-audio/flac: flac
-audio/mp4: m4a m4b m4p
-audio/opus: opus
-audio/PCMA: pcma
-audio/PCMU: pcmu
-audio/x-pn-realaudio: ra ram
-audio/x-snd: sndr sndt
-audio/x-speex: spx
-audio/x-ms-wma: wma
-audio/x-wavpack: wv
-audio/x-mpegurl: m3u
-application/vnd.apple.mpegurl: m3u8
-application/x-shockwave-flash: swf
-video/mp4: mp4 m4v
-video/mpeg: mpg mpeg m2v
-video/x-ms-wmv: wmv
-video/3gpp2: 3g2
-video/3gpp: 3gp
-video/x-ms-asf: asf
-video/x-msvideo: avi
-video/mp2t: dat m2ts mts
-video/dv: dv
-video/x-f4v: f4v
-video/x-flv: flv
-video/hevc: hevc
-video/mjpeg: mjpeg
-video/x-matroska: mkv
-video/quicktime: mov
-application/mxf: mxf
-video/ogg: ogv
-application/vnd.rn-realmedia: rm rp
-application/vnd.rn-realmedia-vbr: rmvb
-video/x-ms-vob: vob
-video/webm: webm
-video/x-ms-wtv: wtv
-application/x-mscompress: mscompress
-application/winhlp: hlp
-text/markdown: md
-text/x-go: go
-text/x-java-source: java
-text/x-python: py
-text/x-c: c h
-text/x-c++: cpp hpp
-application/x-httpd-php: php
-text/x-ruby: rb
-text/vbscript: vbs
-text/x-rust: rs
-text/x-swift: swift
-text/x-kotlin: kt
-application/sql: sql
-application/x-sh: sh bash
-application/x-bat: bat
-application/x-powershell: ps1
-application/vnd.android.package-archive: apk
-application/vnd.amazon.ebook: azw3
-application/x-blender: blend
-application/vnd.c4d: c4d
-application/vnd.catia: catpart
-application/vnd.ms-htmlhelp: chm
-application/dicom: dcm
-application/acad: dwg
-application/dxf: dxf
-message/rfc822: eml mht mhtml
-application/java-archive: jar
-application/x-sony-bbeb: lrf
-application/x-3ds: max
-application/vnd.solidworks: sldasm sldprt
-application/sla: stl
-text/vcard: vcf
-model/x3d+xml: x3d
-application/x-xpinstall: xpi
-application/vnd.ms-xpsdocument: xps
-model/vnd.3dm: 3dm
-model/3mf: 3mf
-model/vnd.dwf: dwf
-application/x-python-egg: egg
-application/x-python-wheel: whl
-application/vnd.autodesk.f3d: f3d
-model/iges: iges igs
-application/vnd.apple.keynote: key
-application/vnd.apple.numbers: numbers
-application/vnd.apple.pages: pages
-model/obj: obj
-application/vnd.ofd: ofd
-application/vnd.palm: pdb
-model/step: step stp
-model/x-parasolid: x_t
+# MIME type of each extension, by kind of file.
+MIME_DOCUMENTS = """
+doc application/msword
+docx application/vnd.openxmlformats-officedocument.wordprocessingml.document
+xls application/vnd.ms-excel
+xlt application/vnd.ms-excel
+xlsb application/vnd.ms-excel.sheet.binary.macroEnabled.12
+xlsx application/vnd.openxmlformats-officedocument.spreadsheetml.sheet
+xltx application/vnd.openxmlformats-officedocument.spreadsheetml.template
+xltm application/vnd.ms-excel.template.macroEnabled.12
+xlam application/vnd.ms-excel.addin.macroEnabled.12
+ppt application/vnd.ms-powerpoint
+vsd application/vnd.visio
+vsdx application/vnd.visio
+odt application/vnd.oasis.opendocument.text
+csv text/csv
+in text/plain
+ini text/plain
+log text/plain
+odp application/vnd.oasis.opendocument.presentation
+ods application/vnd.oasis.opendocument.spreadsheet
+ott application/vnd.oasis.opendocument.text-template
+pdf application/pdf
+ppsx application/vnd.openxmlformats-officedocument.presentationml.slideshow
+pptx application/vnd.openxmlformats-officedocument.presentationml.presentation
+rtf application/rtf
+txt text/plain
+"""
+MIME_ARCHIVES = """
+zip application/zip
+7z application/x-7z-compressed
+rar application/vnd.rar
+tar application/x-tar
+gz application/gzip
+bz2 application/x-bzip2
+xz application/x-xz
+rpm application/x-rpm
+iso application/x-iso9660-image
+tgz application/x-tar-gz
+tar.bz2 application/x-tar-bz2
+tar.gz application/x-tar-gz
+tar.xz application/x-tar-xz
+zipx application/zipx
+"""
+MIME_IMAGES = """
+png image/png
+jpg image/jpeg
+jpeg image/jpeg
+bmp image/bmp
+gif image/gif
+webp image/webp
+jpe image/jpeg
+tif image/tiff
+tiff image/tiff
+ico image/x-icon
+svg image/svg+xml
+psd image/vnd.adobe.photoshop
+heic image/heic
+heif image/heif
+tga image/x-tga
+pcx image/x-pcx
+jp2 image/jp2
+jpx image/jpx
+cur image/x-icon
+dds image/x-dds
+exr image/x-exr
+eps application/postscript
+iff image/x-iff
+jpf image/jpx
+jng image/x-jng
+mng video/x-mng
+pbm image/x-portable-bitmap
+pcd image/x-photo-cd
+pgm image/x-portable-graymap
+pnm image/x-portable-anymap
+ppm image/x-portable-pixmap
+psb image/vnd.adobe.photoshop
+pxr image/x-pixar
+sct image/x-sct
+wbmp image/vnd.wap.wbmp
+xpm image/x-xpm
+djvu image/vnd.djvu
+"""
+MIME_VIDEO = """
+swf application/x-shockwave-flash
+mp4 video/mp4
+mpg video/mpeg
+wmv video/x-ms-wmv
+3g2 video/3gpp2
+3gp video/3gpp
+asf video/x-ms-asf
+avi video/x-msvideo
+dat video/mp2t
+dv video/dv
+f4v video/x-f4v
+flv video/x-flv
+hevc video/hevc
+m2ts video/mp2t
+m2v video/mpeg
+m4v video/mp4
+mjpeg video/mjpeg
+mkv video/x-matroska
+mov video/quicktime
+mpeg video/mpeg
+mts video/mp2t
+mxf application/mxf
+ogv video/ogg
+rm application/vnd.rn-realmedia
+rmvb application/vnd.rn-realmedia-vbr
+vob video/x-ms-vob
+webm video/webm
+wtv video/x-ms-wtv
+rp application/vnd.rn-realmedia
+"""
+MIME_AUDIO = """
+mid audio/midi
+midi audio/midi
+wav audio/wav
+ogg audio/ogg
+oga audio/ogg
+ogx audio/ogg
+mp3 audio/mpeg
+8svx audio/x-8svx
+aac audio/aac
+ac3 audio/ac3
+aiff audio/aiff
+aif audio/aiff
+amb audio/amb
+amr audio/amr
+au audio/basic
+avr audio/x-avr
+caf audio/x-caf
+cdda audio/x-cdda
+cvs audio/x-cvs
+cvsd audio/x-cvs
+cvu audio/x-cvu
+dts audio/x-dts
+dvms audio/x-dvms
+fap audio/x-fap
+flac audio/flac
+fssd audio/x-fssd
+gsrt audio/x-gsrt
+hcom audio/x-hcom
+htk audio/x-htk
+ima audio/x-ima
+ircam audio/x-ircam
+m4a audio/mp4
+m4b audio/mp4
+m4p audio/mp4
+m4r audio/x-m4r
+maud audio/x-maud
+mmf audio/x-mmf
+mp2 audio/mpeg
+nist audio/x-nist
+opus audio/opus
+paf audio/x-paf
+pcma audio/PCMA
+pcmu audio/PCMU
+prc audio/x-prc
+pvf audio/x-pvf
+ra audio/x-pn-realaudio
+ram audio/x-pn-realaudio
+sd2 audio/x-sd2
+sln audio/x-sln
+smp audio/x-smp
+snd audio/basic
+sndr audio/x-snd
+sndt audio/x-snd
+sou audio/x-sou
+sph audio/x-sph
+spx audio/x-speex
+tta audio/x-tta
+txw audio/x-txw
+vms audio/x-vms
+voc audio/x-voc
+vox audio/x-vox
+w64 audio/x-w64
+wma audio/x-ms-wma
+wv audio/x-wavpack
+wve audio/x-wve
+m3u audio/x-mpegurl
+m3u8 application/vnd.apple.mpegurl
+"""
+MIME_CODE = """
+go text/x-go
+java text/x-java-source
+py text/x-python
+c text/x-c
+cpp text/x-c++
+h text/x-c
+hpp text/x-c++
+js application/javascript
+jsx text/jsx
+tsx application/typescript
+html text/html
+htm text/html
+css text/css
+php application/x-httpd-php
+rs text/x-rust
+swift text/x-swift
+kt text/x-kotlin
+rb text/x-ruby
+vbs text/vbscript
+sql application/sql
+xml application/xml
+json application/json
+yaml application/x-yaml
+yml application/x-yaml
+md text/markdown
+sh application/x-sh
+bash application/x-sh
+bat application/x-bat
+ps1 application/x-powershell
+vue text/x-vue
+"""
+MIME_OTHER = """
+3dm model/vnd.3dm
+3mf model/3mf
+apk application/vnd.android.package-archive
+azw3 application/vnd.amazon.ebook
+blend application/x-blender
+c4d application/vnd.c4d
+catpart application/vnd.catia
+cfg text/x-cfg
+chm application/vnd.ms-htmlhelp
+conf text/x-conf
+config text/x-config
+daf application/x-daf
+dbf application/x-dbf
+dcm application/dicom
+def text/x-def
+dll application/vnd.microsoft.portable-executable
+dsm application/x-dsm
+dwf model/vnd.dwf
+dwg application/acad
+dws application/x-dws
+dxf application/dxf
+dylib application/x-mach-binary
+egg application/x-python-egg
+eml message/rfc822
+exe application/vnd.microsoft.portable-executable
+f3d application/vnd.autodesk.f3d
+fbx application/x-fbx
+hlp application/winhlp
+iges model/iges
+igs model/iges
+jar application/java-archive
+key application/vnd.apple.keynote
+list text/x-list
+lrf application/x-sony-bbeb
+max application/x-3ds
+mht message/rfc822
+mhtml message/rfc822
+mscompress application/x-mscompress
+numbers application/vnd.apple.numbers
+obj model/obj
+ofd application/vnd.ofd
+pages application/vnd.apple.pages
+pdb application/vnd.palm
+prt application/x-prt
+sldasm application/vnd.solidworks
+sldprt application/vnd.solidworks
+snb application/x-snb
+so application/x-sharedlib
+step model/step
+stl application/sla
+stp model/step
+sys application/vnd.microsoft.portable-executable
+tex application/x-tex
+ts application/typescript
+vcf text/vcard
+whl application/x-python-wheel
+x3d model/x3d+xml
+x_t model/x-parasolid
+xmind application/x-xmind
+xpi application/x-xpinstall
+xps application/vnd.ms-xpsdocument
+"""
+# The extension that stands for a MIME type.
+EXTENSION_OF_MIME = """
+audio/midi mid
+audio/wav wav
+audio/ogg ogg
+audio/mpeg mp3
+audio/x-8svx 8svx
+audio/aac aac
+audio/ac3 ac3
+audio/aiff aiff
+audio/amb amb
+audio/amr amr
+audio/basic au
+audio/x-avr avr
+audio/x-caf caf
+audio/x-cdda cdda
+audio/x-cvs cvs
+audio/x-cvu cvu
+audio/x-dts dts
+audio/x-dvms dvms
+audio/x-fap fap
+audio/flac flac
+audio/x-fssd fssd
+audio/x-gsrt gsrt
+audio/x-hcom hcom
+audio/x-htk htk
+audio/x-ima ima
+audio/x-ircam ircam
+audio/mp4 m4a
+audio/x-m4r m4r
+audio/x-maud maud
+audio/x-mmf mmf
+audio/x-nist nist
+audio/opus opus
+audio/x-paf paf
+audio/PCMA pcma
+audio/PCMU pcmu
+audio/x-pvf pvf
+audio/x-pn-realaudio ra
+audio/x-sd2 sd2
+audio/x-sln sln
+audio/x-smp smp
+audio/x-snd snd
+audio/x-sou sou
+audio/x-sph sph
+audio/x-speex spx
+audio/x-tta tta
+audio/x-txw txw
+audio/x-vms vms
+audio/x-voc voc
+audio/x-vox vox
+audio/x-w64 w64
+audio/x-ms-wma wma
+audio/x-wavpack wv
+audio/x-wve wve
+video/mp4 mp4
+video/3gpp 3gp
+application/x-mscompress-szdd mscompress
+application/winhlp hlp
 """
-# Extensions whose MIME type is application/x-EXT, and text/x-EXT.
-MIME_APPLICATION_X = "daf dbf dsm dws fbx prt snb tex xmind".split()
-MIME_TEXT_X = "cfg conf config def list".split()
 # Supported types that have no MIME type of their own.
 NO_MIME = "cc code cxx docm dot dotm dotx dps dpt et ett hh hxx kts less markdown pgp pl pm pot potm potx pps ppsm pptm pyw sass scala scss wps wpt xlsm".split()
-# The extension that stands for a MIME type that several extensions share, or that only the way back knows.
-MIME_BACK = {"audio/midi": "mid", "audio/ogg": "ogg", "audio/mpeg": "mp3", "audio/aiff": "aiff", "audio/basic": "au", "audio/x-cvs": "cvs", "audio/mp4": "m4a", "audio/x-pn-realaudio": "ra", "video/mp4": "mp4", "video/3gpp": "3gp", "application/x-mscompress-szdd": "mscompress", "application/winhlp": "hlp"}
-
 # Which extractor reads which types.
 EXTRACTORS = {
     "doc": "doc wps wpt dot",
@@ -222,14 +381,14 @@ EXTRACTORS = {
 }
 
 
+def _pairs(*tables: str) -> dict[str, str]:
+    return dict(line.split() for t in tables for line in t.strip().splitlines())
+
+
 @lru_cache(1)
 def mime_map() -> dict[str, str]:
     """Extension to MIME type."""
-    out = {e: f"audio/x-{e}" for e in AUDIO} | {e: f"image/x-{e}" for e in IMAGE} | {e: f"application/x-{e}" for e in MIME_APPLICATION_X} | {e: f"text/x-{e}" for e in MIME_TEXT_X}
-    for line in MIME_EXCEPTIONS.strip().splitlines():
-        mime, extensions = line.split(": ")
-        out |= dict.fromkeys(extensions.split(), mime)
-    return out
+    return _pairs(MIME_DOCUMENTS, MIME_ARCHIVES, MIME_IMAGES, MIME_VIDEO, MIME_AUDIO, MIME_CODE, MIME_OTHER)
 
 
 @lru_cache(1)
@@ -248,12 +407,7 @@ def supported() -> frozenset[str]:
 @lru_cache(1)
 def back_map() -> dict[str, str]:
     """MIME type to the extension that stands for it: audio types, and a few more."""
-    mimes = mime_map()
-    shared = {}
-    for e in AUDIO:
-        shared.setdefault(mimes[e], e)
-    del shared["audio/x-prc"]
-    return shared | MIME_BACK | {"audio/x-snd": "snd"}
+    return _pairs(EXTENSION_OF_MIME)
 
 
 def category(extension: str) -> str:

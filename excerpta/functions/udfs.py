@@ -34,3 +34,5 @@ decode_text_fixed = scalar(lambda raw: text.decode_text(raw, fixed=True), "strin
 normalise_csv = scalar(text.normalise_csv, "string")
 unescape = scalar(text.unescape, "string")
 rtf_text = scalar(text.rtf_text, "string")
+rtf_text_fixed = scalar(lambda raw: text.rtf_text(raw, fixed=True), "string")
+utf16_units = scalar(lambda raw: text.utf16_units(raw or b""), "string")

@@ -8,6 +8,7 @@ damaged tail ends the list instead of failing it.
 from __future__ import annotations
 
 import bz2
+import datetime
 import gzip
 import io
 import lzma
@@ -37,12 +38,26 @@ class Member:
     text: str | None = None
 
 
-@dataclass
 class Budget:
-    """What an archive may still hold."""
+    """What an archive may still hold: bytes in all, nested archives and Office files included, and entries of its own."""
+
+    def __init__(self, left: int = MOST_TOTAL, entries: int = 0, above: Budget | None = None):
+        self._left, self.entries, self.above = left, entries, above
+
+    @property
+    def left(self) -> int:
+        return self.above.left if self.above else self._left
 
-    left: int = MOST_TOTAL
-    entries: int = 0
+    @left.setter
+    def left(self, value: int) -> None:
+        if self.above:
+            self.above.left = value
+        else:
+            self._left = value
+
+    def nested(self) -> Budget:
+        """The same bytes for an archive inside, whose entries count on their own."""
+        return Budget(above=self)
 
     def count(self) -> None:
         self.entries += 1
@@ -309,11 +324,14 @@ def _rar(name: str, raw: bytes, budget: Budget) -> Iterator[Member]:
         at += size + extra
 
 
-_RPM = {1000: "Name", 1001: "Version", 1002: "Release", 1004: "Summary", 1005: "Description", 1006: "BuildTime", 1009: "Size", 1011: "Vendor", 1014: "License", 1020: "URL", 1022: "Architecture", 1047: "Provides", 1049: "Requires"}
+# Tags of a package's main header, and the lines that tell of it.
+_RPM = {1000: "name", 1001: "version", 1002: "release", 1004: "summary", 1005: "description", 1006: "built", 1009: "size", 1011: "vendor", 1014: "license", 1020: "url", 1022: "architecture", 1047: "provides", 1049: "requires", 1048: "requires_flags", 1050: "requires_version", 1112: "provides_flags", 1113: "provides_version"}
+_RPM_LINES = (("摘要", "summary", True), ("描述", "description", False), ("许可证", "license", False), ("厂商", "vendor", False), ("URL", "url", False))
+_RPM_SENSE = {2: "<", 4: ">", 8: "=", 10: "<=", 12: ">="}
 
 
-def rpm_metadata(raw: bytes) -> dict[str, str]:
-    """Tags of a package's main header."""
+def rpm_metadata(raw: bytes) -> dict[str, list]:
+    """Values of a package's main header by name."""
     if raw[:4] != b"\xed\xab\xee\xdb":
         raise ValueError("not RPM")
     at, out = 96, {}
@@ -328,10 +346,9 @@ def rpm_metadata(raw: bytes) -> dict[str, str]:
                 if tag in _RPM:
                     body = raw[store + offset :]
                     if kind == 4:
-                        value = ", ".join(str(x) for x in struct.unpack(f">{count}I", body[: 4 * count]))
+                        out[_RPM[tag]] = list(struct.unpack(f">{count}I", body[: 4 * count]))
                     else:
-                        value = ", ".join(x.decode("utf-8", "replace") for x in body.split(b"\0", count)[: count if kind in (8, 9) else 1])
-                    out[_RPM[tag]] = value
+                        out[_RPM[tag]] = [x.decode("utf-8", "replace") for x in body.split(b"\0", count)[: count if kind in (8, 9) else 1]]
         at = store + size
         if not which:
             at += -at % 8
@@ -339,16 +356,31 @@ def rpm_metadata(raw: bytes) -> dict[str, str]:
 
 
 def _rpm(name: str, raw: bytes, budget: Budget) -> Iterator[Member]:
-    yield Member(name, False, None, "[RPM包信息]\n" + "\n".join(f"{k}: {v}" for k, v in rpm_metadata(raw).items()))
+    """One row that tells of the package; its payload stays closed."""
+    found = rpm_metadata(raw)
+    first = lambda k: found.get(k, [""])[0]
+    lines = ["[RPM包信息]", f"名称: {first('name')}", f"版本: {first('version')}-{first('release')}", f"架构: {first('architecture')}"]
+    lines += [f"{label}: {first(k)}" for label, k, always in _RPM_LINES if always or first(k)]
+    built = datetime.datetime.fromtimestamp(first("built") or 0, datetime.timezone.utc)
+    lines += [f"构建时间: {built:%Y-%m-%d %H:%M:%S} +0000 UTC", f"大小: {first('size') or 0} 字节"]
+    for label, k in (("提供", "provides"), ("依赖", "requires")):
+        if found.get(k):
+            lines += ["", f"{label}:"]
+            for i, own in enumerate(found[k]):
+                sense = _RPM_SENSE.get((found.get(f"{k}_flags", []) + [0] * (i + 1))[i] & 14, "")
+                version = (found.get(f"{k}_version", []) + [""] * (i + 1))[i]
+                lines.append("  - " + " ".join(x for x in (own, sense, version) if x))
+    yield Member(name, False, None, "\n".join(lines) + "\n")
 
 
 def _iso(name: str, raw: bytes, budget: Budget) -> Iterator[Member]:
     block = 2048
     volume = raw[16 * block : 17 * block]
     if volume[1:6] != b"CD001":
-        yield Member(name, False, None, f"[ISO镜像信息] {len(raw)} 字节")
+        yield Member(name, False, None, f"[ISO镜像信息]\n警告: ISO文件格式不正确: no volume descriptor\n文件大小: {len(raw)} 字节\n")
         return
-    label = volume[40:72].decode("ascii", "replace").strip()
+    label = volume[40:72].decode("ascii", "replace").strip(" \0")
+    info = f"[ISO镜像信息]\n卷标识: {label}\n"
     seen: set[int] = set()
 
     def walk(at: int, size: int, top: str) -> Iterator[Member]:
@@ -375,9 +407,14 @@ def _iso(name: str, raw: bytes, budget: Budget) -> Iterator[Member]:
                 yield from walk(where, length, path + "/")
             elif budget.allows(length):
                 budget.left -= length
-                yield Member(path, False, raw[where * block : where * block + length], f"[ISO镜像信息] {label}\n")
-
-    yield from walk(struct.unpack("<I", volume[158:162])[0], struct.unpack("<I", volume[166:170])[0], "")
+                yield Member(path, False, raw[where * block : where * block + length], info + "\n\n")
+
+    found = False
+    for m in walk(struct.unpack("<I", volume[158:162])[0], struct.unpack("<I", volume[166:170])[0], ""):
+        found = True
+        yield m
+    if not found:
+        yield Member(name, False, None, info)
 
 
 _READERS = {

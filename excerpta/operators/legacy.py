@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime
+import re
 import struct
 from collections.abc import Iterator
+from decimal import Decimal
 
 from .containers import Encrypted
 from .office import rk_number
@@ -159,30 +161,53 @@ class _Shared:
 
 _ERRORS = {0: "#NULL!", 7: "#DIV/0!", 15: "#VALUE!", 23: "#REF!", 29: "#NAME?", 36: "#NUM!", 42: "#N/A"}
 _DATES = {14: "%m/%d/%y", 15: "%d-%b-%y", 16: "%d-%b", 17: "%b-%y", 22: "%m/%d/%y %H:%M"}
+# Signs of custom date formats, the longer ones first.
+_DATE_SIGNS = {"MMMM": "%B", "MMM": "%b", "MM": "%m", "DDDD": "%A", "DDD": "%a", "DD": "%d", "YYYY": "%Y", "YY": "%y", "hh": "%H", "mm": "%M", "ss": "%S"}
 
 
-def number_text(x: float, fmt: str | int | None) -> str:
-    """A number in its cell format: percent and two places, whole numbers, dates, else the shortest form."""
-    if isinstance(fmt, str) and fmt not in ("General", "@"):
-        if "%" in fmt:
-            return f"{x * 100:.2f}%"
-        if any(c in fmt.lower() for c in ("yy", "dd", "mm", "hh")):
-            return excel_date(x).strftime("%m/%d/%Y %H:%M:%S" if "h" in fmt.lower() else "%m/%d/%y")
-        if "#" in fmt or ".00" in fmt:
-            return f"{x:.2f}"
-        if fmt == "0":
-            return f"{x:.0f}"
-    if isinstance(fmt, int) and fmt in _DATES:
+def plain_number(x: float) -> str:
+    """The shortest decimal that gives the number back, never with an exponent."""
+    if x != x or x in (float("inf"), float("-inf")):
+        return {"nan": "NaN", "inf": "+Inf", "-inf": "-Inf"}[str(x)]
+    text = format(Decimal(repr(x)), "f")
+    return text.rstrip("0").rstrip(".") if "." in text else text
+
+
+def number_text(x: float, fmt: str | int | None, fixed: bool = False) -> str:
+    """A number in its cell's custom format: percent, two places, whole numbers, else a date. ``fixed`` knows the built-in date formats too.
+
+    The tests follow the published order: ``General`` and ``@``, then ``%``, then ``#`` or ``.00``, then ``0``; what
+    has none of these is a date. Built-in formats (no text) give the plain number.
+    """
+    if fixed and isinstance(fmt, int) and fmt in _DATES:
         return excel_date(x).strftime(_DATES[fmt])
-    return f"{x:.15g}"
+    if not isinstance(fmt, str) or fmt in ("General", "@"):
+        return plain_number(x)
+    if "%" in fmt:
+        return f"{x * 100:.2f}%"
+    if "#" in fmt or ".00" in fmt:
+        return f"{x:.2f}"
+    if "0" in fmt:
+        return f"{x:.0f}"
+    return date_text(excel_date(x), fmt.replace("HH:MM:SS", "hh:mm:ss").replace("\\", ""))
+
+
+def date_text(t: datetime.datetime, fmt: str) -> str:
+    """A date in a custom format; signs that mean nothing stay. One-letter months and days have no leading zero."""
+
+    def sign(m: re.Match) -> str:
+        s = m[0]
+        return str(t.month) if s == "M" else str(t.day) if s == "D" else t.strftime(_DATE_SIGNS[s])
+
+    return re.sub("|".join([*_DATE_SIGNS, "M", "D"]), sign, fmt)
 
 
 def excel_date(x: float) -> datetime.datetime:
-    """Date of a serial number of the 1900 system."""
-    return datetime.datetime(1899, 12, 30) + datetime.timedelta(days=x)
+    """Date of a serial number of the 1900 system, to the second."""
+    return datetime.datetime(1899, 12, 30) + datetime.timedelta(seconds=round(x * 86400))
 
 
-def xls_cells(raw: bytes) -> Iterator[tuple[int, int, int, str, str]]:
+def xls_cells(raw: bytes, fixed: bool = False) -> Iterator[tuple[int, int, int, str, str]]:
     """(sheet, row, column, kind, text) of the cells that have a value of their own; formula results are not among them."""
     data = CompoundFile(raw).stream("Workbook", "Book")
     if data is None:
@@ -196,7 +221,7 @@ def xls_cells(raw: bytes) -> Iterator[tuple[int, int, int, str, str]]:
 
     def style(x: float, xf: int) -> str:
         k = styles[xf] if xf < len(styles) else 0
-        return number_text(x, formats.get(k, k))
+        return number_text(x, formats[k] if k >= 164 and k in formats else k, fixed)
 
     for kind, b in [*_biff(data), (0, b"")]:
         if kind == 0x3C and chunks is not None:
@@ -247,10 +272,10 @@ def xls_cells(raw: bytes) -> Iterator[tuple[int, int, int, str, str]]:
                 yield sheet, row, column, "error" if b[7] else "bool", _ERRORS.get(b[6], "#ERR") if b[7] else ("TRUE" if b[6] else "FALSE")
 
 
-def xls(raw: bytes) -> str:
+def xls(raw: bytes, fixed: bool = False) -> str:
     """Non-empty cells of a row joined by blanks, rows by line ends, in sheet order."""
     rows: dict[tuple[int, int], dict[int, str]] = {}
-    for sheet, row, column, _, text in xls_cells(raw):
+    for sheet, row, column, _, text in xls_cells(raw, fixed):
         rows.setdefault((sheet, row), {})[column] = text
     return "\n".join(line for k in sorted(rows) if (line := " ".join(t for _, t in sorted(rows[k].items()) if t))).strip()
 

@@ -9,13 +9,17 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.types import AUDIO
-
 BLOCK, SIDE, PAD, LEAST = 4096, 1024, 256, 8
 _SPACE = b" \t\n\r\x0b\x0c"
-# Labels that name another type than themselves; formats and audio types whose label is their type.
-TYPE_OF_LABEL = {"jpeg": "jpg", "textproto": "txt", "midi": "mid"}
-SAME_AS_LABEL = "doc docx xls xlsx ppt pptx pdf txt zip 7z rar tar gz png jpg bmp gif webp html xml json empty unknown".split()
+# File type of each content label that has one of its own.
+TYPE_OF_LABEL = {
+    "doc": "doc", "docx": "docx", "xls": "xls", "xlsx": "xlsx", "ppt": "ppt", "pptx": "pptx", "pdf": "pdf", "txt": "txt", "zip": "zip", "7z": "7z", "rar": "rar", "tar": "tar", "gz": "gz",
+    "png": "png", "jpg": "jpg", "jpeg": "jpg", "bmp": "bmp", "gif": "gif", "webp": "webp", "html": "html", "xml": "xml", "json": "json", "textproto": "txt", "empty": "empty", "unknown": "unknown",
+    "mid": "mid", "midi": "mid", "wav": "wav", "ogg": "ogg", "mp3": "mp3", "8svx": "8svx", "aac": "aac", "ac3": "ac3", "aiff": "aiff", "amb": "amb", "amr": "amr", "au": "au", "avr": "avr", "caf": "caf", "cdda": "cdda",
+    "cvs": "cvs", "cvu": "cvu", "dts": "dts", "dvms": "dvms", "fap": "fap", "flac": "flac", "fssd": "fssd", "gsrt": "gsrt", "hcom": "hcom", "htk": "htk", "ima": "ima", "ircam": "ircam", "m4a": "m4a", "m4r": "m4r",
+    "maud": "maud", "mmf": "mmf", "mp2": "mp2", "nist": "nist", "oga": "oga", "opus": "opus", "paf": "paf", "pcma": "pcma", "pcmu": "pcmu", "prc": "prc", "pvf": "pvf", "ra": "ra", "sd2": "sd2", "sln": "sln", "smp": "smp",
+    "snd": "snd", "sndr": "sndr", "sndt": "sndt", "sou": "sou", "sph": "sph", "spx": "spx", "tta": "tta", "txw": "txw", "vms": "vms", "voc": "voc", "vox": "vox", "w64": "w64", "wma": "wma", "wv": "wv", "wve": "wve",
+}
 
 
 def features(raw: bytes) -> list[int]:
@@ -45,11 +49,8 @@ def decided(scores: Column, labels: list[str], thresholds: dict[str, float], is_
     """Label of the first greatest score if it reaches its threshold, else ``txt`` or ``unknown`` by whether the label is text."""
     best = F.array_max(scores)
     label = F.get(F.array(*map(F.lit, labels)), (F.array_position(scores, best) - 1).cast("int"))
-    need, text = F.lit(default), F.lit(False)
-    for k, v in thresholds.items():
-        need = F.when(label == k, v).otherwise(need)
-    for k, v in is_text.items():
-        text = F.when(label == k, v).otherwise(text)
+    look = lambda pairs, kind: F.element_at(F.from_json(F.lit(json.dumps(pairs)), f"map<string,{kind}>"), label)
+    need, text = F.coalesce(look(thresholds, "double"), F.lit(default)), F.coalesce(look(is_text, "boolean"), F.lit(False))
     return F.when(best >= need, label).otherwise(F.when(text, "txt").otherwise("unknown"))
 
 
@@ -72,7 +73,11 @@ def load_config(path: str) -> dict:
 
 
 def type_of_label(label: str, extensions: list[str]) -> str:
-    """File type of a content type: fixed ones, else its first extension, else the label itself."""
-    if label in SAME_AS_LABEL or label in AUDIO:
-        return label
+    """File type of a content type: that of its label, else its first extension, else the label itself."""
     return TYPE_OF_LABEL.get(label) or (extensions[0] if extensions else label)
+
+
+def label_type(label: Column, extensions: Column) -> Column:
+    """``type_of_label`` as an expression; ``extensions`` is an array."""
+    own = F.element_at(F.from_json(F.lit(json.dumps(TYPE_OF_LABEL)), "map<string,string>"), label)
+    return F.coalesce(own, F.get(extensions, F.lit(0)), label)

@@ -19,9 +19,9 @@ EMBED_DEPTH = 3
 IMAGES = (".png", ".jpg", ".jpeg", ".bmp", ".gif")
 
 
-def parts(raw: bytes, wanted) -> Iterator[tuple[str, bytes]]:
-    """(name, data) of the entries that ``wanted`` takes, in zip order, within the limits of archives."""
-    budget = Budget()
+def parts(raw: bytes, wanted, budget: Budget | None = None) -> Iterator[tuple[str, bytes]]:
+    """(name, data) of the entries that ``wanted`` takes, in zip order, within what the outermost file may still unpack."""
+    budget = budget or Budget()
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         if len(z.infolist()) > MOST_ENTRIES:
             raise ValueError("too many entries")
@@ -58,34 +58,43 @@ def kind_of(raw: bytes) -> str:
         return "odt" if "content.xml" in z.namelist() else ""
 
 
-def docx(raw: bytes, fixed: bool = False) -> str:
+def docx(raw: bytes, fixed: bool = False, budget: Budget | None = None) -> str:
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         if "content.xml" in z.namelist():
-            return odt(raw)
-    out = []
-    for _, data in parts(raw, lambda n: n.startswith("word/document.xml")):
-        xml = _text(data)
-        if fixed:
-            paragraphs = re.split(r"</w:p>", xml)
-            out.append("\n".join(unescape(_tagged(p, "w:t", True)) for p in paragraphs).rstrip("\n") + "\n")
-        else:
-            out.append(_tagged(xml, "w:t", False) + "\n")
-    return "".join(out).strip()
+            return odt(raw, budget)
+    found = [_text(data) for _, data in parts(raw, lambda n: n.startswith("word/document.xml"), budget)]
+    if fixed:
+        return "\n".join("\n".join(unescape(_tagged(p, "w:t", True)) for p in xml.split("</w:p>")).rstrip("\n") for xml in found).strip()
+    return "".join(_tagged(xml, "w:t", False) + "\n" for xml in found)
 
 
-def odt(raw: bytes) -> str:
-    return "".join(strip_tags(_text(data)) for _, data in parts(raw, lambda n: n == "content.xml"))
+def odt(raw: bytes, budget: Budget | None = None) -> str:
+    return "".join(strip_tags(_text(data)) for _, data in parts(raw, lambda n: n == "content.xml", budget))
 
 
-def pptx(raw: bytes, fixed: bool = False) -> str:
-    found = list(parts(raw, lambda n: n.startswith("ppt/slides/slide") and n.endswith(".xml")))
+def pptx(raw: bytes, fixed: bool = False, budget: Budget | None = None) -> str:
+    """Texts of the slides that have any, a line end after each, then values and strings of embedded workbooks, blanks after them."""
+    slides = list(parts(raw, lambda n: n.startswith("ppt/slides/slide") and n.endswith(".xml"), budget))
     if fixed:
-        found.sort(key=lambda p: [int(x) for x in re.findall(r"\d+", p[0])[-1:]])
-    return "".join(unescape(_tagged(_text(data), "a:t", fixed)) + "\n" for _, data in found).strip()
+        slides.sort(key=lambda p: [int(x) for x in re.findall(r"\d+", p[0])[-1:]])
+    out = [unescape(text) + "\n" for _, data in slides if (text := _tagged(_text(data), "a:t", fixed))]
+    if not fixed:  # else they are read as embedded objects
+        for _, book in parts(raw, lambda n: n.startswith("ppt/embeddings/") and n.endswith(".xlsx"), budget):
+            try:
+                sheets = [_text(d) for _, d in parts(book, lambda n: any(x in n for x in ("sharedStrings.xml", "sheet1.xml", "sheet2.xml", "sheet3.xml")), budget)]
+            except (zipfile.BadZipFile, ValueError):
+                continue
+            out += [x for xml in sheets for x in _dump(xml)]
+    return "".join(out).strip() if fixed else "".join(out)
+
+
+def _dump(xml: str) -> list[str]:
+    """All values, then all strings, each run followed by a blank."""
+    return [unescape(text) + " " for tag in ("v", "t") if (text := _tagged(xml, tag, False))]
 
 
-def vsdx(raw: bytes, fixed: bool = False) -> str:
-    found = parts(raw, lambda n: n.startswith("visio/pages/page") and n.endswith(".xml"))
+def vsdx(raw: bytes, fixed: bool = False, budget: Budget | None = None) -> str:
+    found = parts(raw, lambda n: n.startswith("visio/pages/page") and n.endswith(".xml"), budget)
     if fixed:
         return "\n".join(strip_tags("".join(re.findall(r"(?s)<Text(?:\s[^>]*)?>.*?</Text>", _text(d)))) for _, d in found).strip()
     return "\n".join(_tagged(_text(d), "w:t", False) for _, d in found).strip()
@@ -95,15 +104,15 @@ _SHARED, _RUN = re.compile(r"(?s)<si>(.*?)</si>"), re.compile(r"(?s)<t(?:\s[^>]*
 _CELL, _KIND, _VALUE = re.compile(r"(?s)<c(\s[^>]*?)?(?<!/)>(.*?)</c>"), re.compile(r'\bt="(\w+)"'), re.compile(r"(?s)<v(?:\s[^>]*)?>(.*?)</v>")
 
 
-def xlsx(raw: bytes, fixed: bool = False) -> str:
+def xlsx(raw: bytes, fixed: bool = False, budget: Budget | None = None) -> str:
     strings: list[str] = []
-    for _, data in parts(raw, lambda n: n == "xl/sharedStrings.xml"):
+    for _, data in parts(raw, lambda n: n == "xl/sharedStrings.xml", budget):
         for si in _SHARED.findall(_text(data)):
             runs = _RUN.findall(si)
             whole = "".join(runs if fixed else runs[:1])
             strings.append(unescape(whole) if fixed and ("&" in whole or "\\" in whole) else whole)
     sheets = []
-    for _, data in parts(raw, lambda n: n.startswith("xl/worksheets/sheet") and n.endswith(".xml")):
+    for _, data in parts(raw, lambda n: n.startswith("xl/worksheets/sheet") and n.endswith(".xml"), budget):
         cells = []
         for attributes, body in _CELL.findall(_text(data)):
             kind = "s" if ' t="s"' in attributes else (_KIND.search(attributes) or ("", "n"))[1]
@@ -120,7 +129,7 @@ def xlsx(raw: bytes, fixed: bool = False) -> str:
         sheets.append(" ".join(cells))
     text = "\n".join(sheets).strip()
     if not text:
-        text = " ".join(v for _, d in parts(raw, lambda n: n.startswith("xl/") and n.endswith(".xml")) for v in re.findall(r"(?s)<v>(.*?)</v>", _text(d))).strip()
+        text = "".join(x for _, d in parts(raw, lambda n: "xl/" in n and n.endswith(".xml"), budget) for x in _dump(_text(d))).strip()
     return text
 
 
@@ -157,10 +166,10 @@ def rk_number(v: int) -> float:
     return x / 100 if v & 1 else x
 
 
-def xlsb(raw: bytes, fixed: bool = False) -> str:
-    strings = [_wide(b, 1) for _, d in parts(raw, lambda n: n == "xl/sharedStrings.bin") for k, b in _records(d) if k == 0x13 and len(b) >= 5]
+def xlsb(raw: bytes, fixed: bool = False, budget: Budget | None = None) -> str:
+    strings = [_wide(b, 1) for _, d in parts(raw, lambda n: n == "xl/sharedStrings.bin", budget) for k, b in _records(d) if k == 0x13 and len(b) >= 5]
     sheets = []
-    for _, data in parts(raw, lambda n: n.startswith("xl/worksheets/sheet") and n.endswith(".bin")):
+    for _, data in parts(raw, lambda n: n.startswith("xl/worksheets/sheet") and n.endswith(".bin"), budget):
         cells = []
         for kind, b in _records(data):
             try:
@@ -183,9 +192,9 @@ def xlsb(raw: bytes, fixed: bool = False) -> str:
 READERS = {"docx": docx, "pptx": pptx, "xlsx": xlsx, "xlsb": xlsb}
 
 
-def embedded(raw: bytes) -> Iterator[tuple[str, bytes]]:
+def embedded(raw: bytes, budget: Budget | None = None) -> Iterator[tuple[str, bytes]]:
     """(name, data) of embedded objects; an object wrapped in a compound file gives the PDF in it, if there is one."""
-    for name, data in parts(raw, lambda n: re.match(r"(word|ppt|xl)/embeddings/", n) is not None):
+    for name, data in parts(raw, lambda n: re.match(r"(word|ppt|xl)/embeddings/", n) is not None, budget):
         base = name.rsplit("/", 1)[-1]
         if data[:4] in (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08"):
             inner = kind_of(data) if data[:4] == b"PK\x03\x04" else ""
@@ -198,6 +207,6 @@ def embedded(raw: bytes) -> Iterator[tuple[str, bytes]]:
                 yield base + ".pdf", data[a : b + 5]
 
 
-def media(raw: bytes) -> Iterator[tuple[str, bytes]]:
+def media(raw: bytes, budget: Budget | None = None) -> Iterator[tuple[str, bytes]]:
     """(name, data) of pictures, for OCR."""
-    yield from parts(raw, lambda n: re.match(r"(word|ppt|xl)/media/", n) is not None and n.lower().endswith(IMAGES))
+    yield from parts(raw, lambda n: re.match(r"(word|ppt|xl)/media/|Pictures/", n) is not None and n.lower().endswith(IMAGES), budget)

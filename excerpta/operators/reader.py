@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.types import extractor_map
 from . import containers, legacy, media, office, pdf
 
-NEED_TEXT = {"pdf": "未提取到文本内容", "xlsx": "未找到Excel内容"}
+NEED_TEXT = {"pdf": "未提取到文本内容", "xls": "未找到Excel内容", "xlsx": "未找到Excel内容"}
 
 
 @dataclass
@@ -70,23 +70,23 @@ def archive_rows(kind: str, name: str, raw: bytes, mode: str = "reference", dept
         inner = ext if ext in containers.NESTED else ""
         if inner and m.data:
             try:
-                nested = archive_rows(inner, m.name, m.data, mode, depth + 1, containers.Budget(left=budget.left, entries=budget.entries))
+                nested = archive_rows(inner, m.name, m.data, mode, depth + 1, budget.nested())
                 out += nested
                 out.append((m.name, False, depth, f"[嵌套压缩包: {len(nested)} 个文件]"))
                 continue
             except Exception:  # not what its name says: read it like any other member
                 out.append((m.name, False, depth, fallback(m.name, m.data)))
                 continue
-        out.append((m.name, False, depth, (m.text or "") + member_text(m.name, m.data, mode, depth) if m.data else (m.text or fallback(m.name, m.data))))
+        out.append((m.name, False, depth, (m.text or "") + member_text(m.name, m.data, mode, depth, budget) if m.data else (m.text or fallback(m.name, m.data))))
     return out
 
 
-def member_text(name: str, raw: bytes, mode: str, depth: int) -> str:
+def member_text(name: str, raw: bytes, mode: str, depth: int, budget: containers.Budget | None = None) -> str:
     """Text of a member by extension, else by content, else the fallback."""
     kind = extractor_map().get(extension(name)) or extractor_map().get(_sniff(raw), "")
     if kind and kind not in ("audio", "video", "vsd"):
         try:
-            got = read(name, raw, kind, mode, depth=depth + 1)
+            got = read(name, raw, kind, mode, depth=depth + 1, budget=budget)
             if got.status == "success" and got.content:
                 return got.content
         except Exception:
@@ -98,50 +98,55 @@ def rendered(rows: list[tuple[str, bool, int, str]]) -> str:
     return "".join(f"=== {name} ===\n{text}\n\n" for name, is_dir, _, text in rows if not is_dir and text)
 
 
-def _office(name: str, raw: bytes, kind: str, fixed: bool, ocr: bool, embed: int) -> str:
+def _office(name: str, raw: bytes, kind: str, fixed: bool, ocr: bool, depth: int, embed: int, budget: containers.Budget) -> str:
+    """Text of an Office file and of what is embedded in it. ``depth`` counts containers of all kinds, ``embed`` Office files in Office files."""
+    if depth >= containers.MOST_DEPTH:
+        raise ValueError(f"压缩包层级超过最大深度 {containers.MOST_DEPTH}")
     if kind == "pptx" and extension(name) == "vsdx":
-        text = office.vsdx(raw, fixed)
+        text = office.vsdx(raw, fixed, budget)
     else:
-        text = office.READERS[kind](raw, fixed)
+        text = office.READERS[kind](raw, fixed, budget)
     more = []
     if kind != "xlsb" and embed < office.EMBED_DEPTH:
-        for base, data in office.embedded(raw):
+        for base, data in office.embedded(raw, budget):
             inner = extractor_map().get(extension(base), "")
             try:
                 if inner in office.READERS:
-                    more.append(_office(base, data, inner, fixed, False, embed + 1))
+                    more.append(_office(base, data, inner, fixed, False, depth + 1, embed + 1, budget))
                 elif inner == "pdf":
                     more.append(pdf.text(data))
                 elif inner == "archive":
-                    more.append(rendered(archive_rows("zip", base, data, "fixed" if fixed else "reference", depth=embed + 1)))
+                    more.append(rendered(archive_rows("zip", base, data, "fixed" if fixed else "reference", depth + 1, budget.nested())))
             except Exception:
                 continue
         if ocr:
-            more += [t for _, data in office.media(raw) if (t := media.ocr(data))]
+            more += [t for _, data in office.media(raw, budget) if (t := media.ocr(data))]
+    if kind in ("docx", "pptx") and not fixed:
+        text += "".join(x + "\n" for x in more if x)
+        return text if kind == "docx" else text.strip()
     return "\n".join(x for x in (text, *more) if x)
 
 
-def read(name: str, raw: bytes, kind: str, mode: str = "reference", ocr: bool = False, depth: int = 0) -> Reading:
-    """Text of one file by its extractor's name. Raises for damaged files."""
+def read(name: str, raw: bytes, kind: str, mode: str = "reference", ocr: bool = False, depth: int = 0, budget: containers.Budget | None = None) -> Reading:
+    """Text of one file by its extractor's name. Raises for damaged files. ``budget``: what the outermost file may still unpack."""
     fixed = mode == "fixed"
+    budget = budget or containers.Budget()
     if kind == "text":
         return Reading(content=T.decode_text(raw, fixed))
     if kind == "csv":
         return Reading(content=T.normalise_csv(raw))
     if kind == "rtf":
-        return Reading(content=T.rtf_text(raw))
+        return Reading(content=T.rtf_text(raw, fixed))
     if kind == "pgp":
         if raw[:1] in (b"\x85", b"\xc0", b"\xc3", b"\xc6"):
             raise containers.Encrypted("pgp")
-        data = raw.decode("utf-8", "replace")
-        m = re.search(r"(?s)-----BEGIN PGP.*?-----END PGP[^\n]*\n?", data)
-        return Reading(content=m[0] if m else data[: 1 << 20])
+        return Reading(content=T.pgp_text(raw))
     if kind in office.READERS:
-        text = _office(name, raw, kind, fixed, ocr, 0)
+        text = _office(name, raw, kind, fixed, ocr, depth, 0, budget)
     elif kind == "archive":
-        return Reading(content=rendered(archive_rows(extension(name) if extension(name) in containers.NESTED else (_sniff(raw) or "zip"), name, raw, mode, depth)))
+        return Reading(content=rendered(archive_rows(extension(name) if extension(name) in containers.NESTED else (_sniff(raw) or "zip"), name, raw, mode, depth, budget)))
     elif kind == "xls":
-        text = legacy.xls(raw)
+        text = legacy.xls(raw, fixed)
     elif kind == "doc":
         text = legacy.doc(raw)
     elif kind == "ppt":

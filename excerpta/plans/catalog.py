@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import detect, encryption, text, types, udfs
-from ..operators import model
+from ..operators import model, office
 from . import extract as X
 from . import synthesise
 
@@ -189,12 +189,12 @@ def csv_separator(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.separator(F.coalesce("text", F.lit(""))).alias("sep"))
 
 
-@query("select l_orderkey, l_linenumber, concat_ws(chr(9), l_orderkey, l_partkey, 'a \"q\" ' || l_returnflag, l_linestatus) || chr(10) as content from lineitem")
+@query("select l_orderkey, l_linenumber, concat_ws(chr(9), l_orderkey, l_partkey, 'a \"q\" ' || l_returnflag, l_linestatus) || chr(10) || '1' || chr(9) || '2' as content from lineitem")
 def csv_normalise(spark: SparkSession, d: str) -> DataFrame:
     sep = F.get(F.array(*map(F.lit, text.SEPARATORS)), (F.col("l_orderkey") % 4).cast("int"))
     quoted = F.concat(F.lit('"a ""q"" '), F.col("l_returnflag"), F.lit('"'))
     line = F.array_join(F.array(F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), quoted, F.col("l_linestatus")), "\x01")
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.encode(F.replace(line, F.lit("\x01"), sep), "UTF-8").alias("c"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.encode(F.concat(F.replace(line, F.lit("\x01"), sep), F.lit("\n\n1"), sep, F.lit("2\n")), "UTF-8").alias("c"))
     return rows.select("l_orderkey", "l_linenumber", udfs.normalise_csv(F.col("c")).alias("content"))
 
 
@@ -284,21 +284,40 @@ def text_extract(spark: SparkSession, d: str) -> DataFrame:
     return X.extract(_files(docs, "txt", _bytes())).select(*_RESULT_COLUMNS)
 
 
-def _round_trip(ext: str, sql: str, mode: str = "reference") -> None:
+def _round_trip(ext: str, sql: str, mode: str = "reference", status: str = "'success'", error: str | None = None, name: str = "") -> None:
+    columns = ["file_name", "status", "content"] + ["error_msg"] * (error is not None)
+
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return X.extract(_files(table(spark, d, "documents"), ext), mode).select("file_name", "status", "content")
+        return X.extract(_files(table(spark, d, "documents"), ext), mode).select(columns)
 
-    run.__name__ = ext.replace(".", "_") + "_round_trip"
-    query(f"select 'doc' || doc_id || '.{ext}' as file_name, 'success' as status, {sql} as content from (select doc_id, coalesce(text, '') as t from documents)")(run)
+    run.__name__ = name or ext.replace(".", "_") + "_round_trip"
+    more = f", {error} as error_msg" if error is not None else ""
+    query(f"select 'doc' || doc_id || '.{ext}' as file_name, {status} as status, {sql} as content{more} from (select doc_id, coalesce(text, '') as t from documents)")(run)
 
 
 _TRIM = "regexp_replace(regexp_replace({}, '^[ \\t\\r\\n]+', ''), '[ \\t\\r\\n]+$', '')"
 _TWO = "'=== a.txt ===' || chr(10) || t || chr(10) || chr(10) || '=== sub/b.txt ===' || chr(10) || 'second ' || t || chr(10) || chr(10)"
 _WORDS = "regexp_replace(" + _TRIM.format("t") + ", '[ \\t\\r\\n]+', ' ', 'g')"
-_round_trip("docx", _TRIM.format("t"))
+_round_trip("docx", "t || chr(10)")
+_round_trip("docx", _TRIM.format("t"), "fixed", name="docx_fixed_round_trip")
 _round_trip("odt", _WORDS)
-_round_trip("pptx", _TRIM.format("t || chr(10) || 'end'"), "fixed")
-_round_trip("xlsx", _WORDS, "fixed")
+_SLIDES = _TRIM.format("case when t = '' then '' else t || chr(10) end || 'end'")
+_round_trip("pptx", _SLIDES, "fixed")
+_round_trip("pptx", _SLIDES, name="pptx_reference_round_trip")
+_round_trip("sheet.pptx", _TRIM.format("case when t = '' then '' else t || chr(10) end || 'cell 0 cell'"))
+_FOUND = "case when " + _WORDS + " = '' then 'failed' else 'success' end"
+_NO_CELLS = "case when " + _WORDS + " = '' then '未找到Excel内容' else '' end"
+_round_trip("xlsx", _WORDS, "fixed", _FOUND, _NO_CELLS)
+_round_trip("xlsx", f"replace(replace(replace({_WORDS}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')", "reference", _FOUND, _NO_CELLS, "xlsx_reference_round_trip")
+_LINES = "array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: array_to_string(regexp_extract_all(x, '[^ \\t\\r]+'), ' ')), lambda x: x <> ''), chr(10))"
+_round_trip("xls", _LINES, "fixed", f"case when {_LINES} = '' then 'failed' else 'success' end", f"case when {_LINES} = '' then '未找到Excel内容' else '' end")
+_round_trip("doc", _TRIM.format("t"), "fixed")
+_round_trip("ppt", _TRIM.format("t"), "fixed")
+_round_trip("7z", "'=== f.txt ===' || chr(10) || 'seven ' || t || chr(10) || chr(10)", name="seven_zip_round_trip")
+_round_trip("rar", "'=== f.txt ===' || chr(10) || 'rar ' || t || chr(10) || chr(10)")
+_round_trip("iso", "'=== A.TXT ===' || chr(10) || '[ISO镜像信息]' || chr(10) || '卷标识: LABEL' || chr(10) || chr(10) || chr(10) || 'iso ' || t || chr(10) || chr(10)")
+_RPM_TEXT = ["'[RPM包信息]'", "'名称: pkg'", "'版本: 1.0-2'", "'架构: noarch'", "'摘要: short'", "case when t <> '' then '描述: ' || t end", "'许可证: MIT'", "'构建时间: 1970-01-02 00:00:00 +0000 UTC'", "'大小: 12 字节'", "''", "'提供:'", "'  - pkg = 1.0-2'", "''", "'依赖:'", "'  - lib >= 3'", "'  - sh'", "''"]
+_round_trip("rpm", "'=== doc' || doc_id || '.rpm ===' || chr(10) || concat_ws(chr(10), " + ", ".join(_RPM_TEXT) + ") || chr(10) || chr(10)")
 _round_trip("xlsb", _WORDS)
 _round_trip("rtf", "t")
 _round_trip("zip", _TWO)
@@ -321,7 +340,7 @@ def pdf_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return X.extract(_files(docs, "pdf")).select("file_name", "status", "content")
 
 
-@query("select 'doc' || doc_id || '.embedded.docx' as file_name, 'success' as status, " + _TRIM.format("t") + " || chr(10) || replace(replace(replace(array_to_string(regexp_extract_all(t, '[^ \\t\\r\\n]+')[1:3], ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as content from (select doc_id, coalesce(text, '') as t from documents)")
+@query("select 'doc' || doc_id || '.embedded.docx' as file_name, 'success' as status, " + "t || chr(10) || case when t = '' then '' else replace(replace(replace(array_to_string(regexp_extract_all(t, '[^ \\t\\r\\n]+'), ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || chr(10) end as content from (select doc_id, coalesce(text, '') as t from documents)")
 def embedded_docx(spark: SparkSession, d: str) -> DataFrame:
     return X.extract(_files(table(spark, d, "documents"), "embedded.docx")).select("file_name", "status", "content")
 
@@ -359,6 +378,89 @@ def label_join(spark: SparkSession, d: str) -> DataFrame:
     return out.join(table(spark, d, "labels"), "doc_id").groupBy("quality", "toxic", "status").agg(F.count("*").alias("n"))
 
 
+@query("""select doc_id, (doc_id % 2 = 0)::int as is_encrypt, case when doc_id % 2 = 0 then 'failed' else 'success' end as status from documents where length(trim(coalesce(text, ''))) > 0""")
+def ole_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Binary Word, Excel and PowerPoint files in turn, every second one with its format's mark of encryption."""
+    kinds = (("doc", synthesise.doc), ("xls", synthesise.xls), ("ppt", synthesise.ppt))
+    docs = table(spark, d, "documents").filter("length(trim(text)) > 0")
+    build = udfs.scalar(lambda r: kinds[r["k"] % 3][1](r["t"], r["k"] % 2 == 0), "binary")
+    content = build(F.struct(F.col("doc_id").alias("k"), F.col("text").alias("t")))
+    ext = F.get(F.array(*[F.lit(k) for k, _ in kinds]), (F.col("doc_id") % 3).cast("int"))
+    files = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"), F.octet_length("text").cast("bigint").alias("length"), content.alias("content"))
+    return X.extract(files, "fixed").select(F.regexp_extract("file_name", "^([0-9]+)", 1).cast("long").alias("doc_id"), "is_encrypt", "status")
+
+
+@query("select doc_id, doc_id % 3 > 0 as encrypted, '7Z' as kind, '37' as first from documents")
+def seven_zip_flag(spark: SparkSession, d: str) -> DataFrame:
+    """Archives whose end header is plain, encoded, or names the AES method; the text is their data."""
+    head = F.get(F.array(*map(F.lit, ("0104", "1706", "010406F10701"))), (F.col("doc_id") % 3).cast("int"))
+    number = lambda n: F.reverse(F.lpad(F.hex(n), 16, "0"))
+    little = lambda n: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.reverse(F.substring(number(n), 2 * i + 1, F.lit(2)))), "")
+    body = F.hex(_bytes())
+    c = F.unhex(F.concat(F.lit("377ABCAF271C0004" + "00" * 4), little(F.octet_length(F.coalesce("text", F.lit("")))), little(F.length(head) / 2), F.lit("00" * 4), body, head))
+    found = encryption.info(F.lit("/a.7z"), c, F.lit("7z"))
+    return table(spark, d, "documents").select("doc_id", found["is_encrypted"].alias("encrypted"), found["encryption_type"].alias("kind"), F.substring(found["header_hex"], 1, 2).alias("first"))
+
+
+@query("select doc_id, 'success' as status, '[image: no OCR enabled, png, ' || (1 + strlen(t)) || 'x' || (1 + doc_id) || ']' as content from (select doc_id, coalesce(text, '') as t from documents)")
+def image_note(spark: SparkSession, d: str) -> DataFrame:
+    build = udfs.scalar(lambda r: synthesise.png(1 + len(r["t"].encode()), 1 + r["k"]), "binary")
+    files = _files(table(spark, d, "documents"), "png", build(F.struct(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("t"))))
+    return X.extract(files).select(F.regexp_extract("file_name", "([0-9]+)", 1).cast("long").alias("doc_id"), "status", "content")
+
+
+@query("""select c_custkey, printf('%.2f%%', c_acctbal * 100) || ' ' || printf('%.2f', c_acctbal) || ' ' || printf('%.0f', c_acctbal) || ' ' || regexp_replace(c_acctbal::varchar, '[.]0$', '') || ' ' || regexp_replace(c_acctbal::varchar, '[.]0$', '')
+    || ' ' || month(d) || '/' || day(d) || '/' || strftime(d, '%y') || ' ' || strftime(d, '%m/%d/%Y') || ' 06:00:00' as content from (select c_custkey, c_acctbal, date '1899-12-30' + (40000 + c_custkey % 5000)::int as d from customer)""")
+def xls_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """A balance in percent, two places, whole, General and built-in format, and a day in two date formats."""
+    formats = ["0.00%", "#,##0.00", "0", "General", "", "M/D/YY", "MM/DD/YYYY\\ HH:MM:SS"]
+    build = udfs.scalar(lambda r: synthesise.xls_numbers(formats, [r["x"]] * 5 + [r["day"], r["day"] + 0.25]), "binary")
+    rows = table(spark, d, "customer").select("c_custkey", build(F.struct(F.col("c_acctbal").alias("x"), (40000.0 + F.col("c_custkey") % 5000).alias("day"))).alias("content"))
+    files = rows.select(F.concat(F.col("c_custkey").cast("string"), F.lit(".xls")).alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"), F.length("content").cast("bigint").alias("length"), "content")
+    return X.extract(files).select(F.regexp_extract("file_name", "^([0-9]+)", 1).cast("long").alias("c_custkey"), "content")
+
+
+@query("""select doc_id, 'a' || t || 'b-c*d' || chr(34) || 'e' || chr(34) || ' f' || chr(10) || 'g' as content, 'a' || t || 'b' || chr(8212) || 'c' || chr(8226) || 'd' || chr(8220) || 'e' || chr(8221) || '|f' || chr(10) || chr(10) || 'g' as signs
+    from (select doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', '', 'g') as t from documents)""")
+def rtf_symbols(spark: SparkSession, d: str) -> DataFrame:
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]", "")
+    raw = F.encode(F.concat(F.lit("{\\rtf1 a"), t, F.lit("b\\emdash c\\bullet d\\ldblquote e\\rdblquote\\cell f\\sect g}")), "UTF-8")
+    return table(spark, d, "documents").select("doc_id", udfs.rtf_text(raw).alias("content"), udfs.rtf_text_fixed(raw).alias("signs"))
+
+
+@query("select doc_id, regexp_replace(coalesce(text, ''), '[\\x{10000}-\\x{10FFFF}]', chr(65533) || chr(65533), 'g') as content from documents")
+def utf16_units(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", udfs.utf16_units(F.encode(F.coalesce("text", F.lit("")), "UTF-16LE")).alias("content"))
+
+
+@query("select doc_id, '-----BEGIN PGP MESSAGE-----' || chr(10) || coalesce(text, '') as content, substr(coalesce(text, ''), 1, 1048576) as bare from documents where not contains(coalesce(text, ''), '-----')")
+def pgp_open_armor(spark: SparkSession, d: str) -> DataFrame:
+    """Armor that never ends is kept to the end of the text."""
+    t = F.coalesce("text", F.lit(""))
+    rows = table(spark, d, "documents").filter(~F.contains(t, F.lit("-----")))
+    return rows.select("doc_id", text.pgp_slice(F.concat(F.lit("before\n-----BEGIN PGP MESSAGE-----\n"), t)).alias("content"), text.pgp_slice(t).alias("bare"))
+
+
+@query(f"select doc_id, ext in ('docx', 'docm', 'xls') as office, ext = 'zip' as archive, ext in ('jpg', 'png') as image, ext = 'csv' as plain from ({_NAMED})")
+def type_predicates(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("path")
+    return _named(spark, d).select("doc_id", detect.is_office(p).alias("office"), detect.is_archive(p).alias("archive"), detect.is_image(p).alias("image"), detect.is_text(p).alias("plain"))
+
+
+@query("select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+'), lambda w: regexp_full_match(w, '[0-9]+')::int) as numbers from documents")
+def pure_numbers(spark: SparkSession, d: str) -> DataFrame:
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \\t\\r\\n]+"), F.lit(0))
+    return table(spark, d, "documents").select("doc_id", F.transform(words, lambda w: text.is_number(w).cast("int")).alias("numbers"))
+
+
+@query("select doc_id, case doc_id % 4 when 0 then 'docx' when 1 then 'xlsx' when 2 then 'pptx' else 'odt' end as kind from documents")
+def zip_kind(spark: SparkSession, d: str) -> DataFrame:
+    """What a zip container holds, by its entries."""
+    kinds = ("docx", "xlsx", "pptx", "odt")
+    build = udfs.scalar(lambda r: office.kind_of(synthesise.BUILDERS[kinds[r["k"] % 4]](r["t"])), "string")
+    return table(spark, d, "documents").select("doc_id", build(F.struct(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("t"))).alias("kind"))
+
+
 # ---- model ----------------------------------------------------------------------------------------------
 
 
@@ -374,3 +476,19 @@ def model_features(spark: SparkSession, d: str) -> DataFrame:
 def argmax_threshold(spark: SparkSession, d: str) -> DataFrame:
     labels = [f"l{i}" for i in range(64)]
     return table(spark, d, "embeddings").select("vec_id", model.decided(F.col("embedding"), labels, {}, {x: i % 2 == 0 for i, x in enumerate(labels)}, 0.25).alias("label"))
+
+
+@query("""select doc_id, case when k = 0 then 'jpg' when k = 1 then 'txt' when k = 2 then 'mid' when k = 3 then 'wav' when k = 4 then 'unknown' when w is null then 'python' else w end as type from (select doc_id, doc_id % 6 as k, nullif(regexp_extract(coalesce(text, ''), '[^ \\t\\r\\n]+'), '') as w from documents)""")
+def label_types(spark: SparkSession, d: str) -> DataFrame:
+    """Types of content labels; a label without a type of its own takes its first extension, here the text's first word."""
+    label = F.get(F.array(*map(F.lit, ("jpeg", "textproto", "midi", "wav", "unknown", "python"))), (F.col("doc_id") % 6).cast("int"))
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), "[^ \\t\\r\\n]+", 0)
+    return table(spark, d, "documents").select("doc_id", model.label_type(label, F.filter(F.array(word), lambda w: w != "")).alias("type"))
+
+
+@query("""select doc_id, case when t = '' then 'empty' when strlen(regexp_replace(t, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')) < 8 then 'txt' end as whole,
+    list_transform(regexp_extract_all(t, '[^ \\t\\r\\n]+'), lambda w: case when strlen(w) < 8 then 'txt' end) as words from (select doc_id, coalesce(text, '') as t from documents)""")
+def short_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of what is too short for the model: of texts and of each of their words."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \\t\\r\\n]+"), F.lit(0))
+    return table(spark, d, "documents").select("doc_id", model.small_label(_bytes()).alias("whole"), F.transform(words, lambda w: model.small_label(F.encode(w, "UTF-8"))).alias("words"))
