@@ -38,6 +38,8 @@ SIDE = LENGTH - GRAM
 WIDE = 2 * SIDE + 2
 #: Symbols that one suffix array takes. More contexts of one anchor are told apart by more of their bytes first.
 ARRAY_SYMBOLS = 200_000
+#: Texts with an anchor beyond which its contexts are dealt by the bytes on either side too.
+HOT_TEXTS = 20_000
 #: Bytes of a long text whose anchors are sought at a time.
 STRETCH = 4_000_000
 #: Bytes of a hash that are sent to find repeated anchors, besides its bucket. Chance matches only add work.
@@ -308,29 +310,74 @@ def _widened(raw: bytes, m: int, at: int) -> np.ndarray:
     return sizes
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of a bucket in; (rid, h) of the anchors that two texts have. h is the bucket and the low bytes."""
-    blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for batch in batches:
-        for r in range(batch.num_rows):
-            k, n, m = (batch.column(i)[r].as_py() for i in range(3))
-            raw = batch.column(3)[r].as_py()
-            low = np.zeros((n, 8), np.uint8)
-            low[:, :TOKEN_BYTES] = np.frombuffer(raw, np.uint8, TOKEN_BYTES * n).reshape(n, TOKEN_BYTES)
-            rids = np.repeat(np.frombuffer(raw, np.int64, m, TOKEN_BYTES * n), _widened(raw, m, (TOKEN_BYTES * n) + 8 * m))
-            blocks.setdefault(k, []).append((low.view(np.uint64).ravel(), rids))
-    for k in list(blocks):
-        t, d = (np.concatenate(x) for x in zip(*blocks.pop(k)))
-        order = np.argsort(t, kind="stable")
-        t, d = t[order], d[order]
-        at = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        two = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
-        keep = np.repeat(two, np.diff(np.append(at, len(t))))
-        yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array((np.int64(k) << 8 * TOKEN_BYTES) | t[keep].astype(np.int64))], ["rid", "h"])
+def _repeated(hot_texts: int):
+    """Blocks of a bucket in; (rid, h) of the anchors that two texts have. h is the bucket and the low bytes, inverted for anchors of more than ``hot_texts`` texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                k, n, m = (batch.column(i)[r].as_py() for i in range(3))
+                raw = batch.column(3)[r].as_py()
+                low = np.zeros((n, 8), np.uint8)
+                low[:, :TOKEN_BYTES] = np.frombuffer(raw, np.uint8, TOKEN_BYTES * n).reshape(n, TOKEN_BYTES)
+                rids = np.repeat(np.frombuffer(raw, np.int64, m, TOKEN_BYTES * n), _widened(raw, m, (TOKEN_BYTES * n) + 8 * m))
+                blocks.setdefault(k, []).append((low.view(np.uint64).ravel(), rids))
+        for k in list(blocks):
+            t, d = (np.concatenate(x) for x in zip(*blocks.pop(k)))
+            order = np.argsort(t, kind="stable")
+            t, d = t[order], d[order]
+            at = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+            two = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
+            sizes = np.diff(np.append(at, len(t)))
+            keep, hot = np.repeat(two, sizes), np.repeat(sizes > hot_texts, sizes)
+            h = (np.int64(k) << 8 * TOKEN_BYTES) | t.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(np.where(hot, ~h, h)[keep])], ["rid", "h"])
+
+    return run
+
+
+def _distinct(h: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the distinct contexts, and the number of each one's."""
+    row = np.concatenate((h.view(np.uint8).reshape(-1, 8), ctx.view(np.uint8).reshape(len(ctx), -1)), axis=1)
+    _, first, of = np.unique(np.ascontiguousarray(row).view([("", f"V{row.shape[1]}")]).ravel(), return_index=True, return_inverse=True)
+    return first, of.ravel()
+
+
+def _inside(ctx: np.ndarray) -> np.ndarray:
+    """Which strings of a context do not reach over an end of the text."""
+    out = np.ones((len(ctx), SIDE + 1), bool)
+    for j in range(SIDE + 1):
+        out[:, j] = (ctx[:, j : SIDE + j] != 299).all(axis=1)
+    return out
+
+
+def _bits(some: np.ndarray) -> np.ndarray:
+    return (some << np.arange(SIDE + 1)).sum(axis=1).astype(np.int32)
+
+
+_HALF = (SIDE + 1) // 2
+
+
+def _by_sides(h: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Other hashes for contexts of a hot anchor: with the bytes before it that the strings of half of the places share, and with those after it."""
+    out = []
+    with np.errstate(over="ignore"):
+        for part in (ctx[:, _HALF:SIDE], ctx[:, SIDE : SIDE + _HALF + 1]):
+            x = h ^ _MIX[1]
+            for c in part.T:
+                x = (x ^ c.astype(np.uint64)) * _MIX[0]
+                x ^= x >> np.uint64(31)
+            out.append(x)
+    return out[0], out[1]
 
 
 def _emit_contexts(n_buckets: int):
-    """(bucket, n, block) for documents with repeated anchors: hashes, keys, places and the bytes around."""
+    """(bucket, n, block) for documents with repeated anchors: hashes, keys, places and the bytes around; or, n negative, answers.
+
+    Of equal contexts in a block only those of its least document are sent on: every string of the others starts
+    in that one. So a passage that very many documents share comes to its bucket once a block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -339,13 +386,30 @@ def _emit_contexts(n_buckets: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal size
-            h, key, rid, at, ctx = (np.concatenate([x[i] for x in held]) for i in range(5))
+            h, key, rid, at, ctx, hot = (np.concatenate([x[i] for x in held]) for i in range(6))
+            held.clear()
+            size = 0
+            first, of = _distinct(h, ctx)
+            least = np.full(len(first), _LAST)
+            np.minimum.at(least, of, key)
+            later = key > least[of]
+            rows = []
+            if later.any():
+                bits = _bits(_inside(ctx[later]))
+                rows.append({"bucket": int(rid[0]) % n_buckets, "n": -len(bits), "block": _pack(rid[later], at[later].astype(np.int32), bits)})
+            h, key, rid, at, ctx, hot = (x[~later] for x in (h, key, rid, at, ctx, hot))
+            part = np.zeros(len(h), np.int8)
+            if hot.any():
+                sides = _by_sides(h[hot], ctx[hot])
+                part = np.concatenate((part[~hot], np.repeat(np.array([1, 2], np.int8), hot.sum())))
+                h = np.concatenate((h[~hot], *sides))
+                key, rid, at, ctx = (np.concatenate((x[~hot], x[hot], x[hot])) for x in (key, rid, at, ctx))
             b = _buckets(h, n_buckets)
             order = np.argsort(b, kind="stable")
             cuts = np.searchsorted(b[order], np.arange(n_buckets + 1))
-            rows = [{"bucket": int(k), "n": int(cuts[k + 1] - cuts[k]), "block": _pack(h[p], key[p], rid[p], at[p].astype(np.int32), ctx[p])} for k in np.flatnonzero(np.diff(cuts)) for p in [order[cuts[k] : cuts[k + 1]]]]
-            held.clear()
-            size = 0
+            for k in np.flatnonzero(np.diff(cuts)):
+                p = order[cuts[k] : cuts[k + 1]]
+                rows.append({"bucket": int(k), "n": len(p), "block": _pack(h[p], key[p], rid[p], at[p].astype(np.int32), ctx[p], part[p])})
             return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("block", pa.binary())]))
 
         for batch in batches:
@@ -353,14 +417,15 @@ def _emit_contexts(n_buckets: int):
                 b = np.frombuffer(unzip.decompress(z.as_py()), np.uint8)
                 at, h = anchors(b)
                 own = (_buckets(h, n_buckets) << 8 * TOKEN_BYTES) | (h & np.uint64((1 << 8 * TOKEN_BYTES) - 1)).astype(np.int64)
-                take = np.isin(own, wanted.values.to_numpy())
-                at, h = at[take], h[take]
+                wanted = wanted.values.to_numpy()
+                take = np.isin(own, np.where(wanted < 0, ~wanted, wanted))
+                at, h, own = at[take], h[take], own[take]
                 if not len(at):
                     continue
                 # bytes outside of the text are a symbol of their own, 256 + 1 here and in the array
                 wide = np.concatenate((np.full(SIDE, 299, np.int16), b.astype(np.int16) + 2, np.full(SIDE, 299, np.int16)))
                 around = np.concatenate((np.arange(SIDE), np.arange(SIDE + GRAM, LENGTH + SIDE)))
-                held.append((h, np.full(len(at), key), np.full(len(at), rid), at, wide[at[:, None] + around]))
+                held.append((h, np.full(len(at), key), np.full(len(at), rid), at, wide[at[:, None] + around], np.isin(own, ~wanted[wanted < 0])))
                 size += len(at) * 2 * SIDE
                 if size >= PACK_BYTES:
                     yield flush()
@@ -370,26 +435,22 @@ def _emit_contexts(n_buckets: int):
     return run
 
 
-def _solve(h: np.ndarray, key: np.ndarray, rid: np.ndarray, at: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, place, bits) of the occurrences with a string that starts in an earlier document."""
-    row = np.concatenate((h.view(np.uint8).reshape(-1, 8), ctx.view(np.uint8).reshape(len(ctx), -1)), axis=1)
-    _, first, of = np.unique(np.ascontiguousarray(row).view([("", f"V{row.shape[1]}")]).ravel(), return_index=True, return_inverse=True)
+def _solve(h: np.ndarray, key: np.ndarray, rid: np.ndarray, at: np.ndarray, ctx: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, place, bits) of the occurrences with a string that starts in an earlier document. ``part``: which half of the places counts, or 0."""
+    first, of = _distinct(h, ctx)
     least = np.full(len(first), _LAST)
     np.minimum.at(least, of, key)
     dh, dctx = h[first], ctx[first]
     order = np.argsort(dh, kind="stable")
     starts = np.flatnonzero(np.concatenate(([True], dh[order][1:] != dh[order][:-1])))
-    sizes = np.diff(np.append(starts, len(order)))
-    token = np.repeat(np.arange(len(starts)), sizes)
+    token = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
     earliest = np.empty((len(first), SIDE + 1), np.int64)
     earliest[order] = _earliest(token, dctx[order], least[order])
-    # strings that reach over an end of the text are none
-    inside = np.ones((len(dctx), SIDE + 1), bool)
-    for j in range(SIDE + 1):
-        inside[:, j] = (dctx[:, j : SIDE + j] != 299).all(axis=1)
-    hit = (earliest[of] < key[:, None]) & inside[of]
+    hit = (earliest[of] < key[:, None]) & _inside(dctx)[of]
+    hit[part == 1, _HALF + 1 :] = False
+    hit[part == 2, : _HALF + 1] = False
     some = hit.any(axis=1)
-    return rid[some], at[some], (hit[some] << np.arange(SIDE + 1)).sum(axis=1)
+    return rid[some], at[some], _bits(hit[some])
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,10 +461,13 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in range(batch.num_rows):
             n = batch.column(1)[r].as_py()
             raw = unzip.decompress(batch.column(2)[r].as_py())
-            blocks.setdefault(batch.column(0)[r].as_py(), []).append((np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int64, n, 16 * n), np.frombuffer(raw, np.int32, n, 24 * n), np.frombuffer(raw, np.int16, n * 2 * SIDE, 28 * n).reshape(n, 2 * SIDE)))
+            if n < 0:
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64, -n)), *[pa.array(np.frombuffer(raw, np.int32, -n, -k * n)) for k in (8, 12)]], ["rid", "at", "bits"])
+                continue
+            blocks.setdefault(batch.column(0)[r].as_py(), []).append((np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int64, n, 16 * n), np.frombuffer(raw, np.int32, n, 24 * n), np.frombuffer(raw, np.int16, n * 2 * SIDE, 28 * n).reshape(n, 2 * SIDE), np.frombuffer(raw, np.int8, n, (28 + 4 * SIDE) * n)))
     for k in list(blocks):
         rid, at, bits = _solve(*(np.concatenate(x) for x in zip(*blocks.pop(k))))
-        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(at.astype(np.int32)), pa.array(bits.astype(np.int32))], ["rid", "at", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(at.astype(np.int32)), pa.array(bits)], ["rid", "at", "bits"])
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,7 +523,7 @@ def named_texts(rows: DataFrame) -> DataFrame:
         clashing += more
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """One row per input row: ``id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked, the ``kept`` bytes.
 
     Null texts are empty. Rows that share an id have nothing removed for each other's sake. A null id counts as
@@ -470,7 +534,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     rows = named_texts(docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), text_or_empty(text_col).alias("text")))
     blocks = rows.select("rid", F.col("text").cast("binary")).mapInArrow(tidy(_emit_anchors(n)), "bucket int, n int, docs int, block binary")
-    repeated = blocks.repartitionById(n, "bucket").mapInArrow(tidy(_repeated), "rid long, h long")
+    repeated = blocks.repartitionById(n, "bucket").mapInArrow(tidy(_repeated(hot_texts)), "rid long, h long")
     wanted = repeated.groupBy("rid").agg(F.collect_list("h").alias("wanted"))
     # one row a text; both joins below read the one shuffle of it
     texts = rows.select("rid", "key", F.col("text").cast("binary")).mapInArrow(tidy(_compress), "rid long, key long, z binary").groupBy("rid").agg(F.min("key").alias("least"), F.first("z").alias("z"))

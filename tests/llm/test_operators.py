@@ -251,6 +251,21 @@ def test_hot_contexts_agree(monkeypatch, symbols):
     assert (suffixes._earliest(token, ctx, doc) == earliest_by_window(token, ctx, doc)).all()
 
 
+@pytest.mark.parametrize("hot", [0, 2, 10**9])
+def test_repeats_with_hot_anchors(spark, hot):
+    """A line and a short phrase that most documents share, in packs of a few texts, against all strings."""
+    rng = np.random.default_rng(11)
+    line, phrase = prose(20, 14), prose(21, 8)[:41]
+    rows = []
+    for i in rng.permutation(90).tolist():
+        words = prose(100 + i, int(rng.integers(3, 40))).split()
+        at = int(rng.integers(0, len(words)))
+        rows.append((i, " ".join([*words[:at], line if i % 3 else phrase, *words[at:], phrase if i % 2 else ""])))
+    rows += [(100, rows[0][1]), (101, line * 3), (102, line * 2), (102, line * 2), (103, phrase)]
+    got = sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot_texts=hot).withColumnRenamed("id", "doc_id").collect()), key=str)
+    assert got == brute_repeats(rows)
+
+
 def test_anchors_of_long_texts(monkeypatch):
     b = np.frombuffer(("x" * 200 + prose(9, 3000) + "ab" * 300).encode(), np.uint8)
     whole = suffixes._anchors(b)
