@@ -9,9 +9,11 @@ and for each link the number of visits that finds it is noted. T is never less t
 need for partners at exactly the threshold's angle in random directions. A link counts for both vectors if
 either visits the other's cell.
 
-Equal vectors are one vector with a weight. Members of one first-half centroid are dealt into blocks of
-bounded size, queries come to a block once for all the cells they visit there, in streams; a task keeps one
-block and one batch. It returns sums and a spanning forest of what it found, never all pairs.
+Equal vectors are one vector with a weight. Neighbouring cells of a first-half centroid share a shelf of bounded
+size, and a cell that is larger has a shelf of its own, dealt into blocks. Queries come once to each block of a
+shelf for all the cells that they visit there, in streams; a task keeps one block and one batch. So a query is
+sent to as many places as it visits cells at most, whatever the number of vectors, and to the blocks of very
+large cells. A task returns sums and a spanning forest of what it found, never all pairs.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import cut, parallelism, tidy
-from .components import connected_components
+from .components import connected_components, with_components
 
 THRESHOLD = 0.9
 #: Bounds of the fitting sample, and of the vectors that measure recall.
@@ -135,9 +138,7 @@ def _needs(index: Index, ids: np.ndarray, q: np.ndarray, weights: np.ndarray, th
 
 def visits_for(index: Index, groups: DataFrame, sample: list, threshold: float, recall: float = TARGET_RECALL) -> tuple[int, float, float]:
     """Visits that reach the recall on the links of sampled rows ``id, v, n`` with all of ``groups``, over all links and on the mean of the vectors; with both recalls measured at them."""
-    q = np.array([r["v"] for r in sample], np.float64)
-    q /= np.abs(q).max(axis=1, keepdims=True)
-    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    q = _unit_rows(np.array([r["v"] for r in sample], np.float64))
     needs = groups.select("id", "v", "n").repartition(parallelism(groups)).mapInArrow(tidy(_needs(index, np.array([r["id"] for r in sample]), q, np.array([r["n"] for r in sample], np.float64), threshold)), "query int, need long, links double")
     needs = cut(needs.groupBy("query", "need").agg(F.sum("links").alias("links")))
     total = needs.groupBy("query").agg(F.sum("links").alias("total"))
@@ -160,47 +161,70 @@ def usable(v: Column) -> Column:
 
 def _units(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1)
+    return _unit_rows(flat.reshape(len(column), -1))
+
+
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled first, so that no square overflows or vanishes."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _homes(index: Index):
-    """The first-half centroid of each vector."""
+    """Each vector's own cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = index.first.shape[1]
         for b in batches:
-            near = [_square_distances(_units(b.column(0).slice(at, BATCH))[:, :half], index.first).argmin(axis=1) for at in range(0, b.num_rows, BATCH)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *near]).astype(np.int32))], ["part"])
+            near = [index.homes(_units(b.column(0).slice(at, BATCH))) for at in range(0, b.num_rows, BATCH)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *near]).astype(np.int32))], ["cell"])
 
     return run
 
 
-def _deal(index: Index):
-    """Members to their own cell's centroid with all cells that they visit, queries once to each first-half centroid with their own cell and those that they visit there."""
+def shelves(counts: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """The shelf of each cell, and the number of blocks of each shelf. ``counts``: members by cell, ``k`` cells a first-half centroid."""
+    of, blocks = np.zeros(len(counts), np.int32), []
+    held = 0
+    for cell, n in enumerate(counts.tolist()):
+        if cell % k == 0 or held + n > block:
+            blocks.append(1)
+            held = 0
+        of[cell] = len(blocks) - 1
+        held += n
+        blocks[-1] = max(1, -(-held // block))
+    return of, np.array(blocks, np.int64)
+
+
+def _deal(index: Index, shelf_of: np.ndarray, blocks: np.ndarray):
+    """Members to a block of their own cell's shelf with all cells that they visit, queries to all blocks of each shelf with their own cell and those that they visit there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(index.second)
-        names = ["part", "query", "id", "v", "n", "cells"]
+        names = ["part", "block", "query", "id", "v", "n", "cells"]
         for b in batches:
             for at in range(0, b.num_rows, BATCH):
                 part = b.slice(at, BATCH)
                 cells = index.cells(_units(part.column(1)))
                 own = cells[:, 0]
                 # the stable order keeps nearer cells first; the own cell is known by its number
-                by_part = np.take_along_axis(cells, np.argsort(cells // k, axis=1, kind="stable"), 1)
-                to = by_part // k
+                order = np.argsort(shelf_of[cells], axis=1, kind="stable")
+                by_shelf = np.take_along_axis(cells, order, 1)
+                to = shelf_of[by_shelf]
                 starts = np.flatnonzero(np.concatenate((np.ones((len(to), 1), bool), to[:, 1:] != to[:, :-1]), axis=1))
                 row = starts // cells.shape[1]
                 sizes = np.diff(np.append(starts, cells.size))
-                values = np.insert(by_part.ravel(), starts, own[row])
-                for query, r, p, lists in (
-                    (0, np.arange(len(cells)), own // k, pa.ListArray.from_arrays(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1], pa.array(cells.ravel().astype(np.int32)))),
-                    (1, row, to.ravel()[starts], pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes + 1))).astype(np.int32), pa.array(values.astype(np.int32)))),
+                values = np.insert(by_shelf.ravel(), starts, own[row])
+                visited = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes + 1))).astype(np.int32), pa.array(values.astype(np.int32)))
+                whole = pa.ListArray.from_arrays(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1], pa.array(cells.ravel().astype(np.int32)))
+                shelf = to.ravel()[starts]
+                again = np.repeat(np.arange(len(starts)), blocks[shelf])
+                nth = np.arange(len(again)) - np.repeat(np.cumsum(blocks[shelf]) - blocks[shelf], blocks[shelf])
+                mixed = (part.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                for query, r, p, block, lists in (
+                    (0, np.arange(len(cells)), shelf_of[own], mixed.astype(np.int64) % blocks[shelf_of[own]], whole),
+                    (1, row[again], shelf[again], nth, visited.take(pa.array(again))),
                 ):
                     take = pa.array(r)
-                    yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(np.full(len(r), query, np.int32)), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), lists], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.full(len(r), query, np.int32)), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), lists], names)
 
     return run
 
@@ -228,7 +252,7 @@ def _forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, int), *rows]), np.concatenate([np.zeros(0, int), *cols])
 
 
-def _search(threshold: float, k: int):
+def _search(threshold: float):
     """Rows sorted by (part, block, query): a block's members, then its queries in streams. Out: (id, links, other): sums where other is null, else a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,11 +330,13 @@ def _cells(column: pa.Array) -> np.ndarray:
 def linked_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: ``id, n_links, component``.
 
-    Vectors that are null, zero or hold null or non-finite components link with nothing. Only vectors of one
+    Cosines are computed in double precision; vectors of other than floats are taken as doubles. Vectors that are null, zero or hold null or non-finite components link with nothing. Only vectors of one
     length are compared, each length by an index of its own. Equal vectors always link; rows that repeat an id
     count as further vectors. Rows with a null id have no component but count as links of others.
     """
-    base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    kind = rows.schema[vector_col].dataType
+    vector = F.col(vector_col) if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else F.col(vector_col).cast("array<double>")
+    base = rows.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"))
     base = base.withColumn("ok", usable(F.col("v")))
     out = base.filter(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     for (d,) in base.filter("ok").select(F.size("v").alias("d")).distinct().orderBy("d").collect():
@@ -330,21 +356,22 @@ def _linked_of_length(good: DataFrame, threshold: float) -> DataFrame:
     groups = cut(good.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
     n = groups.count()
     drawn = groups.orderBy(F.xxhash64(F.lit(SEED), "v")).select("id", "v", "n").limit(SAMPLE).collect()
-    sample = np.array([r["v"] for r in drawn], np.float64)
-    index = fit(sample / np.linalg.norm(sample, axis=1, keepdims=True), n, threshold)
+    sample = _unit_rows(np.array([r["v"] for r in drawn], np.float64))
+    index = fit(sample, n, threshold)
     index.visits, *_ = visits_for(index, groups, drawn[:MEASURED], threshold)
     spread = groups.select("id", "v", "n").repartition(parallelism(good))
-    # a row for each centroid, at most MOST_CENTROIDS
-    blocks = F.broadcast(spread.select("v").mapInArrow(tidy(_homes(index)), "part int").groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    dealt = spread.mapInArrow(tidy(_deal(index)), "part int, query int, id long, v array<float>, n long, cells array<int>")
-    own = dealt.join(blocks, "part", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.explode(F.when(F.col("query") == 0, F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    laid = own.select("part", "block", "query", "id", "v", "n", "cells").repartition(parallelism(good), "part", "block").sortWithinPartitions("part", "block", "query")
-    found = cut(laid.mapInArrow(tidy(_search(threshold, len(index.second))), "id long, links long, other long"))
+    # a count for each cell, at most MOST_CENTROIDS squared
+    counts = np.zeros(len(index.first) * len(index.second), np.int64)
+    for cell, members in groups.select("v").mapInArrow(tidy(_homes(index)), "cell int").groupBy("cell").count().collect():
+        counts[cell] = members
+    shelf_of, blocks = shelves(counts, len(index.second))
+    dealt = spread.mapInArrow(tidy(_deal(index, shelf_of, blocks)), f"part int, block int, query int, id long, v {groups.schema['v'].dataType.simpleString()}, n long, cells array<int>")
+    laid = dealt.repartition(parallelism(good), "part", "block").sortWithinPartitions("part", "block", "query")
+    found = cut(laid.mapInArrow(tidy(_search(threshold)), "id long, links long, other long"))
     sums = found.filter("other is null").groupBy("id").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.filter("other is not null").select("id", "other")).select(F.col("node").alias("id"), "root")
-    named = groups.join(sums, "id", "left").join(roots, "id", "left").select("v", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root"))
-    component = named.groupBy("root").agg(F.min("least").alias("component"))
-    of = named.join(component, "root").select(F.col("v").alias("gv"), (F.col("links") + F.col("n") - 1).alias("n_links"), "component")
+    roots = connected_components(found.filter("other is not null").select("id", "other"))
+    named = with_components(cut(groups.select("id", "least")), roots, "id")
+    of = cut(groups.join(sums, "id", "left").join(named, "id").select(F.col("v").alias("gv"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component"))
     return good.join(of, F.col("v") == F.col("gv")).select("id", "n_links", "component")
 
 

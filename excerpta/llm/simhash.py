@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, parallelism, tidy
-from .components import connected_components
+from .components import connected_components, with_components
 
 SHINGLE = 4
 SEED = 42
@@ -214,17 +214,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp", "left").select("id", "text_key", "fp", "component")
 
 
-def with_components(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
-    """``node, component`` of every row of ``nodes`` (``node``, all different, and ``least``): the least ``least`` of its component, by ``roots`` (``node, root``).
-
-    The joins' sides are written tables, so that adaptive execution can split a component with a third of all nodes.
-    """
-    linked = cut(nodes.join(roots.select(F.col("node").alias(node), "root"), node).select(node, "root", "least"))
-    of_root = cut(linked.groupBy("root").agg(F.min("least").alias("component")))
-    named = linked.join(of_root, "root").select(node, "component")
-    return cut(nodes.join(named, node, "left").select(node, F.coalesce("component", "least").alias("component")))
-
-
 def least_of_each(docs: DataFrame, own: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are the least of their component in ``own`` (``id, text_key, component``), with all their columns.
 
