@@ -1,7 +1,8 @@
 """Personal data: base patterns with checks, and more of it by bootstrapped contexts. Spark expressions only.
 
 Base entities are the matches of four patterns that pass their checks (parts of an address at most 255, Luhn,
-number of digits). They are the seeds. Every place that looks like an identifier, seeds included, has lexical
+number of digits). They are the seeds. A fifth kind, secrets, has seeds but no base spans: long runs of letters
+and digits, which count only where a context vouches for them. Every place that looks like an identifier, seeds included, has lexical
 patterns around it: its two words to the left, and the word on either side. Patterns and the values seen in
 them make a graph. Seeds have score 1 in their kind; a pattern's score in a kind is the smoothed mean of its
 values' scores, and a value's score is the chance that at least one of its trusted patterns is right. Both
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import cut, let, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that the method finds, in the order of spans.
+FOUND_KINDS = (*KINDS, "secret")
 #: Base patterns of the contract, in a linear form.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -34,6 +37,8 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: What may be an identifier: a phone or card shape, or a run without blanks that has a digit or an at sign, written out or not.
 _AT = r"[\[({](?i:at)[\])}]"
 CANDIDATE = rf"{PHONE}|{CARD}(?=[^0-9A-Za-z@]|$)|(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+|(?<![^\s])[^\s]*?{_AT}[^\s]*+"
+#: What can be a seed of a secret: at least 16 signs, letters and digits among them.
+SECRET = r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/=-]{16,}$"
 ROUNDS = 3
 #: Smoothing of a pattern's mean, seeds a pattern needs, scores that patterns and values need.
 SMOOTH, LEAST_SEEDS, LEAST_SCORE = 0.5, 5, 0.8
@@ -101,9 +106,9 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def _kind_of(value: Column) -> Column:
-    """The first kind of base entity that a candidate holds, or null."""
+    """The first kind of seed that a candidate holds, or null."""
     holds = lambda k, p: F.exists(F.regexp_extract_all(value, F.lit(p), F.lit(0)), lambda v: passes(k, v))
-    return reduce(lambda c, kp: c.when(holds(*kp), F.lit(kp[0])), list(zip(KINDS, PATTERNS))[1:], F.when(holds(KINDS[0], EMAIL), F.lit(KINDS[0])))
+    return reduce(lambda c, kp: c.when(holds(*kp), F.lit(kp[0])), list(zip(KINDS, PATTERNS))[1:], F.when(holds(KINDS[0], EMAIL), F.lit(KINDS[0]))).when(value.rlike(SECRET), "secret")
 
 
 def candidates(text: Column) -> Column:
@@ -156,7 +161,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id``, arrays ``base`` and ``found`` of (k, start, end), k the kind's place in ``KINDS``.
+    """One row per input row: ``id``, arrays ``base`` and ``found`` of (k, start, end), k the kind's place in ``FOUND_KINDS``.
 
     Null texts are empty and have no spans. Repeated rows each keep their row. Found spans never overlap base
     ones. An empty table gives no rows.
@@ -165,8 +170,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     each = base.select("row", F.explode("c").alias("c")).select("row", "c.*")
     edges = each.select(F.explode("patterns").alias("pattern"), "value", "kind")
     patterns, values = trusted(edges)
-    hits = each.filter("kind is null").select("row", "value", "start", "end", F.explode("patterns").alias("pattern")).join(patterns, "pattern").join(values, ["value", "kind"])
-    number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
+    named = each.select("row", "value", "start", "end", "kind", F.explode("patterns").alias("pattern"))
+    hits = named.filter("kind is null").drop("kind").join(patterns, "pattern").join(values, ["value", "kind"])
+    own = named.filter("kind = 'secret'").join(patterns, ["pattern", "kind"])
+    hits = hits.select("row", "kind", "start", "end").unionByName(own.select("row", "kind", "start", "end"))
+    number = F.array_position(F.array(*map(F.lit, FOUND_KINDS)), F.col("kind")).cast("int") - 1
     found = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(number.alias("k"), "start", "end"))).alias("found"))
     none = F.array().cast("array<struct<k:int,start:int,end:int>>")
     of_kind = lambda i: lambda s: F.struct(F.lit(i).alias("k"), s["start"].alias("start"), s["end"].alias("end"))
@@ -177,7 +185,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def joined(spans_: Column) -> Column:
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, FOUND_KINDS))
     return F.array_join(F.transform(F.array_sort(spans_), lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
@@ -208,7 +216,7 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_ch
     if n <= BROADCAST_BYTES:  # else the join moves the texts
         found = F.broadcast(found)
     out = tagged.join(found, F.col("__id").eqNullSafe(F.col("__fid")) & (F.col("__key") == F.col("__fkey")), "left")
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, FOUND_KINDS))
     from_right = F.reverse(F.array_sort(F.transform("__found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k")))))
     place = lambda t, s: F.overlay(t, F.concat(F.lit("<"), F.get(names, s["k"]), F.lit(">")), s["start"] + 1, s["end"] - s["start"])
     text = F.when(F.col("__found").isNull(), F.col(text_col).cast("string")).otherwise(F.aggregate(from_right, F.col(text_col).cast("string"), place))
