@@ -77,6 +77,15 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
+#: Size up to which a table of keys is sent to every executor instead of moving the texts to it.
+BROADCAST_BYTES = 16_000_000
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its rows are counted and found to be few enough; else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def fresh(base: str = "x") -> str:
     """A column name that no input table has."""
     return f"__{base}_{uuid.uuid4().hex[:8]}"

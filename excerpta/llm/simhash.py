@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism, tidy
+from .common import cut, parallelism, small, tidy
 from .components import connected_components, with_components
 
 SHINGLE = 4
@@ -220,12 +220,14 @@ def least_of_each(docs: DataFrame, own: DataFrame, id_col: str = "doc_id", text_
     ``text_key`` tells rows that share an id apart: each is judged by its own component, so that no text is lost
     for the sake of another with its id. Rows equal in id and text are one row. Rows without an id stay.
     """
-    key = text_key(text_col)
-    gone = own.filter("id <> component").select(F.col("id").alias("__gone"), F.col("text_key").alias("__gone_key")).distinct()
-    keyed = docs.withColumn("__key", key)
-    kept = keyed.join(gone, (F.col(id_col) == F.col("__gone")) & (F.col("__key") == F.col("__gone_key")), "left_anti")
-    once = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, "__key"])
-    return once.unionByName(kept.filter(F.col(id_col).isNull())).select(*docs.columns)
+    keyed = docs.withColumn("__key", text_key(text_col))
+    named = own.filter("id is not null")
+    same = lambda k: (F.col(id_col) == F.col(f"__{k}")) & (F.col("__key") == F.col(f"__{k}_key"))
+    rows = lambda df, k: small(cut(df.select(F.col("id").alias(f"__{k}"), F.col("text_key").alias(f"__{k}_key")).distinct()), 16)
+    kept = keyed.join(rows(named.filter("id <> component"), "gone"), same("gone"), "left_anti")
+    twice = rows(named.groupBy("id", "text_key").count().filter("count > 1"), "twice")
+    once = kept.join(twice, same("twice"), "left_semi").dropDuplicates([id_col, "__key"])
+    return kept.join(twice, same("twice"), "left_anti").unionByName(once).select(*docs.columns)
 
 
 def text_key(text_col: str) -> Column:
