@@ -8,7 +8,7 @@ with no bytes attached. A row never fails the query.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,6 +22,7 @@ RESULT = "file_name string, file_type string, file_size bigint, status string, c
 UNSUPPORTED, ENCRYPTED = "文件类型不支持", "文件已加密，无法提取内容"
 METADATA_NOTE = "此文件类型已识别但无内容提取器，仅返回元数据"
 VSD_NOTE = "不支持的文件类型: vsd"
+OUT_CHARS = 16_000_000
 _KEPT = ("file_name", "file_type", "file_size", "status", "content", "error_msg", "is_encrypt", "skipped")
 _OUT = pa.schema([("file_name", pa.string()), ("file_type", pa.string()), ("file_size", pa.int64()), ("status", pa.string()), ("content", pa.string()), ("error_msg", pa.string()), ("is_encrypt", pa.int32()), ("execute_time", pa.string()), ("skipped", pa.bool_())])
 
@@ -49,6 +50,19 @@ def planned(files: DataFrame, mode: str = "reference", strict_pgp: bool = False,
     return base.select("file_name", "file_type", "file_size", status.alias("status"), body.alias("content"), error.alias("error_msg"), F.col("flag").cast("int").alias("is_encrypt"), skipped.alias("skipped"), "ext", F.coalesce(parser, F.when(ole & valid & ~meta, F.lit(""))).alias("parser"), F.when(parser.isNotNull() | ole, F.col("content")).alias("bytes"))
 
 
+def sliced(rows: Iterable[dict], text_key: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches whose texts have about ``OUT_CHARS`` characters at most, or one row: an Arrow string column can't hold more than 2 GiB."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[text_key] or "")
+        if size >= OUT_CHARS:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
 def _parse(mode: str, ocr: bool):
     def one(r: dict) -> dict:
         began, raw, kind = time.perf_counter(), r["bytes"] or b"", r["parser"]
@@ -67,7 +81,8 @@ def _parse(mode: str, ocr: bool):
                 columns = {k: ready.column(k) for k in _KEPT} | {"execute_time": pa.array(["0.0000"] * ready.num_rows)}
                 yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in _OUT], schema=_OUT)
             if ready.num_rows < b.num_rows:
-                yield pa.RecordBatch.from_pylist([one(r) for r in b.filter(wanted).to_pylist()], schema=_OUT)
+                need = b.filter(wanted)
+                yield from sliced((one(need.slice(i, 1).to_pylist()[0]) for i in range(need.num_rows)), "content", _OUT)
 
     return run
 
@@ -84,16 +99,18 @@ def extract(files: DataFrame, mode: str = "reference", ocr: bool = False, strict
 def members(files: DataFrame, mode: str = "reference") -> DataFrame:
     """Archive members as rows: ``path, pos, depth, member_path, is_dir, text``; damaged archives have none."""
 
+    schema = pa.schema([("path", pa.string()), ("pos", pa.int32()), ("depth", pa.int32()), ("member_path", pa.string()), ("is_dir", pa.bool_()), ("text", pa.string())])
+
+    def rows_of(path: str, raw: bytes) -> list[dict]:
+        try:
+            found = reader.archive_rows(reader.extension(path), path, raw, mode)
+        except Exception:
+            return []
+        return [{"path": path, "pos": i, "depth": d, "member_path": n, "is_dir": x, "text": t} for i, (n, x, d, t) in enumerate(found)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    found = reader.archive_rows(reader.extension(path), path, raw, mode)
-                except Exception:
-                    continue
-                rows += [{"path": path, "pos": i, "depth": d, "member_path": n, "is_dir": x, "text": t} for i, (n, x, d, t) in enumerate(found)]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("pos", pa.int32()), ("depth", pa.int32()), ("member_path", pa.string()), ("is_dir", pa.bool_()), ("text", pa.string())]))
+            yield from sliced((r for path, raw in zip(b.column(0), b.column(1)) for r in rows_of(path.as_py(), raw.as_py())), "text", schema)
 
     archives = files.filter(types.extractor_of(detect.extension(F.col("path"))) == "archive").filter("content is not null")
     return archives.select("path", "content").mapInArrow(run, "path string, pos int, depth int, member_path string, is_dir boolean, text string")
@@ -103,15 +120,17 @@ def pdf_pages(files: DataFrame, page_spec: str | None = None) -> DataFrame:
     """``path, page, text`` of PDF files; a page range as in ``functions.text.page_range``."""
     from ..operators import pdf
 
+    schema = pa.schema([("path", pa.string()), ("page", pa.int32()), ("text", pa.string())])
+
+    def rows_of(path: str, raw: bytes, wanted: list[int] | None) -> list[dict]:
+        try:
+            return [{"path": path, "page": p, "text": t} for p, t in pdf.pages(raw, wanted)]
+        except Exception:
+            return []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for path, raw, wanted in zip(*(c.to_pylist() for c in b.columns)):
-                try:
-                    rows += [{"path": path, "page": p, "text": t} for p, t in pdf.pages(raw, wanted)]
-                except Exception:
-                    continue
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("page", pa.int32()), ("text", pa.string())]))
+            yield from sliced((r for cells in zip(*b.columns) for r in rows_of(*(c.as_py() for c in cells))), "text", schema)
 
     counted = files.filter("content is not null")
     if page_spec is None:
@@ -126,9 +145,14 @@ def pdf_pages(files: DataFrame, page_spec: str | None = None) -> DataFrame:
     return rows.mapInArrow(run, "path string, page int, text string")
 
 
+def json_of() -> Column:
+    """A result row as JSON with the library's keys; ``skipped`` only where it is set."""
+    return F.to_json(F.struct("file_name", "file_type", "file_size", "status", "content", "error_msg", "is_encrypt", "execute_time", "skipped"))
+
+
 def to_json(results: DataFrame) -> DataFrame:
-    """Result rows as JSON with the library's keys; ``skipped`` only where it is set."""
-    return results.select(F.to_json(F.struct("file_name", "file_type", "file_size", "status", "content", "error_msg", "is_encrypt", "execute_time", "skipped")).alias("json"))
+    """Result rows as ``json``."""
+    return results.select(json_of().alias("json"))
 
 
 def to_json_six(results: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import argparse
-from pathlib import PurePosixPath
+from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans import extract as X
 
+VERSION = "0.2.0"
+
 
 def read_files(spark: SparkSession, path: str, most_bytes: int | None = None, glob: str | None = None) -> DataFrame:
     """Whole files; the size bound is pushed into the scan, so larger files are never opened."""
@@ -40,18 +42,18 @@ class _HeadReader(DataSourceReader):
         self.root, self.bytes, self.slices = options["path"], int(options.get("bytes", 8192)), int(options.get("partitions", 16))
 
     def partitions(self):
-        return [InputPartition(i) for i in range(self.slices)]
+        """The folder is listed once; each partition gets its share of the names."""
+        import os
+
+        found = sorted(os.path.join(folder, n) for folder, _, names in os.walk(self.root) for n in names)
+        return [InputPartition(found[i :: self.slices]) for i in range(min(self.slices, max(1, len(found))))]
 
     def read(self, partition):
         import os
-        import zlib
 
-        for folder, _, names in os.walk(self.root):
-            for n in sorted(names):
-                p = os.path.join(folder, n)
-                if zlib.crc32(p.encode("utf-8", "surrogateescape")) % self.slices == partition.value:
-                    with open(p, "rb") as f:
-                        yield p, os.path.getsize(p), f.read(self.bytes)
+        for p in partition.value:
+            with open(p, "rb") as f:
+                yield p, os.path.getsize(p), f.read(self.bytes)
 
 
 def register(spark: SparkSession) -> None:
@@ -85,21 +87,24 @@ def write_texts(results: DataFrame, path: str) -> None:
 
 
 def main(args: list[str] | None = None) -> None:
-    """``python -m excerpta.sources.files [--ocr] [--mode MODE] [--output FOLDER] PATH``: results as JSON lines."""
+    """``python -m excerpta.sources.files [--ocr] [--mode MODE] [--output FOLDER] PATH | version``: results as JSON lines, texts as ``FOLDER/NAME.txt``."""
     p = argparse.ArgumentParser(prog="excerpta")
-    p.add_argument("path")
+    p.add_argument("path", help="a file or folder, or the word version")
     p.add_argument("--ocr", action="store_true")
     p.add_argument("--mode", choices=("reference", "fixed"), default="reference")
     p.add_argument("--output", help="folder for the texts")
     a = p.parse_args(args)
+    if a.path == "version":
+        print(f"excerpta {VERSION}")
+        return
     from ..session import ship
 
     spark = ship(SparkSession.builder.appName("excerpta").getOrCreate())
     results = X.extract(read_files(spark, str(PurePosixPath(a.path))), a.mode, a.ocr)
-    if a.output:
-        write_texts(results, a.output)
-    for row in X.to_json(results).toLocalIterator():
-        print(row[0])
+    for row in results.withColumn("json", X.json_of()).select("json", "file_name", "content").toLocalIterator():
+        print(row["json"])
+        if a.output and row["content"]:
+            (Path(a.output) / f"{row['file_name']}.txt").write_text(row["content"], encoding="utf-8")
 
 
 if __name__ == "__main__":

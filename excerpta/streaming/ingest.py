@@ -25,14 +25,21 @@ def extract_stream(files: DataFrame, mode: str = "reference") -> DataFrame:
     return extract(files, mode)
 
 
+#: Paths of new files that are sent to every executor; beyond that the join moves the new files' contents once.
+MOST_PATHS = 200_000
+
+
 def incremental(spark: SparkSession, files: DataFrame, cache: DataFrame | None, mode: str = "reference") -> DataFrame:
     """Results for all files, taking those whose key a cache table (key, result columns) has from there.
 
-    Keys are joined, contents are not moved: only files without a key in the cache go on to extraction.
+    Only paths and keys are joined with the cache; files go on to extraction where their path is among the new ones.
     """
-    keyed = files.withColumn("key", cache_key(F.col("path"), F.unix_micros("modificationTime") * 1000, F.col("length"), F.lit(mode), F.col("content")))
+    key = cache_key(F.col("path"), F.unix_micros("modificationTime") * 1000, F.col("length"), F.lit(mode), F.col("content"))
     if cache is None:
-        return extract(keyed.drop("key"), mode)
-    new = keyed.join(cache.select("key"), "key", "left_anti").drop("key")
-    old = cache.join(keyed.select("key").distinct(), "key", "left_semi").drop("key")
-    return old.unionByName(extract(new, mode))
+        return extract(files, mode)
+    keys = files.select("path", key.alias("key"))
+    new = keys.join(cache.select("key"), "key", "left_anti").select("path").distinct()
+    if new.limit(MOST_PATHS + 1).count() <= MOST_PATHS:
+        new = F.broadcast(new)
+    old = cache.join(keys.select("key").distinct(), "key", "left_semi").drop("key")
+    return old.unionByName(extract(files.join(new, "path", "left_semi"), mode))

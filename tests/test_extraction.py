@@ -305,3 +305,23 @@ def test_files_stream_and_cache(spark, tmp_path):
     sources.write_json(results, str(tmp_path / "json"))
     sources.write_texts(results, str(tmp_path / "texts"))
     assert len(list((tmp_path / "texts").glob("file=*"))) == 2
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir(), out.mkdir()
+    (folder / "a.txt").write_text("alpha")
+    (folder / "m.mp3").write_bytes(b"abcd")
+    sources.main(["version"])
+    assert capsys.readouterr().out.startswith("excerpta ")
+    sources.main(["--output", str(out), str(folder)])
+    lines = sorted(capsys.readouterr().out.strip().splitlines())
+    assert len(lines) == 2 and '"content":"alpha"' in lines[0] and '"skipped":true' in lines[1]
+    assert [(p.name, p.read_text()) for p in out.iterdir()] == [("a.txt.txt", "alpha")]
+
+
+def test_batches_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(X, "OUT_CHARS", 10)
+    schema = X.pa.schema([("content", X.pa.string())])
+    sizes = [b.num_rows for b in X.sliced(({"content": "x" * n} for n in (4, 4, 4, 30, 1, 1)), "content", schema)]
+    assert sizes == [3, 1, 2]
