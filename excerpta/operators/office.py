@@ -100,33 +100,52 @@ def vsdx(raw: bytes, fixed: bool = False, budget: Budget | None = None) -> str:
     return "\n".join(_tagged(_text(d), "w:t", False) for _, d in found).strip()
 
 
-_SHARED, _RUN = re.compile(r"(?s)<si>(.*?)</si>"), re.compile(r"(?s)<t(?:\s[^>]*)?(?<!/)>(.*?)</t>")
-_CELL, _KIND, _VALUE = re.compile(r"(?s)<c(\s[^>]*?)?(?<!/)>(.*?)</c>"), re.compile(r'\bt="(\w+)"'), re.compile(r"(?s)<v(?:\s[^>]*)?>(.*?)</v>")
+_RUN, _KIND, _VALUE = re.compile(r"(?s)<t(?:\s[^>]*)?(?<!/)>(.*?)</t>"), re.compile(r'\bt="(\w+)"'), re.compile(r"(?s)<v(?:\s[^>]*)?>(.*?)</v>")
+#: A shared string that is one plain run, or its body; a cell that is one plain value, or its body.
+_SHARED = re.compile(r"(?s)<si>(?:<t>([^<]+)</t></si>|(.*?)</si>)")
+_CELL = re.compile(r"(?s)<c(\s[^>]*?)?(?<!/)>(?:<v>([^<]+)</v></c>|(.*?)</c>)")
+
+
+def _shared_strings(xml: str, fixed: bool) -> list[str]:
+    out = []
+    for whole, body in _SHARED.findall(xml):
+        if body:
+            runs = _RUN.findall(body)
+            whole = "".join(runs if fixed else runs[:1])
+        out.append(unescape(whole) if fixed and ("&" in whole or "\\" in whole) else whole)
+    return out
+
+
+def _cells(xml: str, strings: list[str], fixed: bool) -> list[str]:
+    out = []
+    for attributes, value, body in _CELL.findall(xml):
+        if body:
+            found = _VALUE.search(body)
+            value = found[1] if found else None
+        elif not value:
+            value = None
+        if ' t="s"' in attributes:
+            if value and (value.isdigit() or value.strip().isdigit()) and int(value) < len(strings):
+                out.append(strings[int(value)])
+            continue
+        kind = (_KIND.search(attributes) or ("", "n"))[1]
+        if kind == "s":
+            if value and value.strip().isdigit() and int(value) < len(strings):
+                out.append(strings[int(value)])
+        elif kind == "str" and value is not None:
+            out.append(unescape(value))
+        elif fixed and kind == "inlineStr":
+            out.append(unescape("".join(_RUN.findall(body))))
+        elif fixed and value is not None:
+            out.append({"1": "TRUE", "0": "FALSE"}.get(value, value) if kind == "b" else value)
+    return out
 
 
 def xlsx(raw: bytes, fixed: bool = False, budget: Budget | None = None) -> str:
     strings: list[str] = []
     for _, data in parts(raw, lambda n: n == "xl/sharedStrings.xml", budget):
-        for si in _SHARED.findall(_text(data)):
-            runs = _RUN.findall(si)
-            whole = "".join(runs if fixed else runs[:1])
-            strings.append(unescape(whole) if fixed and ("&" in whole or "\\" in whole) else whole)
-    sheets = []
-    for _, data in parts(raw, lambda n: n.startswith("xl/worksheets/sheet") and n.endswith(".xml"), budget):
-        cells = []
-        for attributes, body in _CELL.findall(_text(data)):
-            kind = "s" if ' t="s"' in attributes else (_KIND.search(attributes) or ("", "n"))[1]
-            value = _VALUE.search(body)
-            if kind == "s":
-                if value and value[1].strip().isdigit() and int(value[1]) < len(strings):
-                    cells.append(strings[int(value[1])])
-            elif kind == "str" and value:
-                cells.append(unescape(value[1]))
-            elif fixed and kind == "inlineStr":
-                cells.append(unescape("".join(_RUN.findall(body))))
-            elif fixed and value:
-                cells.append({"b": {"1": "TRUE", "0": "FALSE"}.get(value[1], value[1])}.get(kind, value[1]))
-        sheets.append(" ".join(cells))
+        strings += _shared_strings(_text(data), fixed)
+    sheets = [" ".join(_cells(_text(data), strings, fixed)) for _, data in parts(raw, lambda n: n.startswith("xl/worksheets/sheet") and n.endswith(".xml"), budget)]
     text = "\n".join(sheets).strip()
     if not text:
         text = "".join(x for _, d in parts(raw, lambda n: "xl/" in n and n.endswith(".xml"), budget) for x in _dump(_text(d))).strip()
