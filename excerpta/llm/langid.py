@@ -168,7 +168,7 @@ def train(pieces: list[tuple[str, str]]) -> ByteConvNet | None:
     return net
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _tables_of(key: bytes):
     import pickle
 
