@@ -454,10 +454,10 @@ def type_predicates(spark: SparkSession, d: str) -> DataFrame:
     return _named(spark, d).select("doc_id", detect.is_office(p).alias("office"), detect.is_archive(p).alias("archive"), detect.is_image(p).alias("image"), detect.is_text(p).alias("plain"))
 
 
-@query("select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+'), lambda w: regexp_full_match(w, '[0-9]+')::int) as numbers from documents")
+@query("select doc_id, array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+'), lambda w: regexp_full_match(w, '[0-9]+')::int::varchar), '') as numbers from documents")
 def pure_numbers(spark: SparkSession, d: str) -> DataFrame:
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \\t\\r\\n]+"), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", F.transform(words, lambda w: text.is_number(w).cast("int")).alias("numbers"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(words, lambda w: text.is_number(w).cast("int").cast("string")), "").alias("numbers"))
 
 
 @query("select doc_id, case doc_id % 4 when 0 then 'docx' when 1 then 'xlsx' when 2 then 'pptx' else 'odt' end as kind from documents")
@@ -494,8 +494,8 @@ def label_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select doc_id, case when t = '' then 'empty' when strlen(regexp_replace(t, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')) < 8 then 'txt' end as whole,
-    list_transform(regexp_extract_all(t, '[^ \\t\\r\\n]+'), lambda w: case when strlen(w) < 8 then 'txt' end) as words from (select doc_id, coalesce(text, '') as t from documents)""")
+    array_to_string(list_transform(regexp_extract_all(t, '[^ \\t\\r\\n]+'), lambda w: case when strlen(w) < 8 then 'txt' else '-' end), ' ') as words from (select doc_id, coalesce(text, '') as t from documents)""")
 def short_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels of what is too short for the model: of texts and of each of their words."""
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \\t\\r\\n]+"), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", model.small_label(_bytes()).alias("whole"), F.transform(words, lambda w: model.small_label(F.encode(w, "UTF-8"))).alias("words"))
+    return table(spark, d, "documents").select("doc_id", model.small_label(_bytes()).alias("whole"), F.array_join(F.transform(words, lambda w: F.coalesce(model.small_label(F.encode(w, "UTF-8")), F.lit("-"))), " ").alias("words"))
