@@ -14,6 +14,8 @@ NOT_PGP = (
 PGP_FIRST = "85 8C C4 A8 84 8D 95 99".split()
 NOT_PACKET_SECOND = "50 4A 4D 47".split()
 NOT_PACKET_PAIRS = "8950 8A4D 8B4A 8180 5261 377A".split()
+# Compressed streams and the starts by which they are known. Their bytes are as good as random.
+STREAMS = {"425A68": ("bz2", "tar.bz2")}
 OOXML = "docx xlsx pptx docm xlsm pptm xlsb dotx dotm xltx xltm potx potm ppsx ppsm".split()
 
 
@@ -57,6 +59,11 @@ def pgp_like(c: Column, strict: bool = False) -> Column:
     return F.coalesce(F.when(negative, False).when(first.isin(*PGP_FIRST), True).when(tagged & ~excluded, True).otherwise(named), F.lit(False))
 
 
+def compressed_stream(c: Column, ext: Column) -> Column:
+    """Whether a file of a compressed type starts as its type does. The letters "PGP" in such a stream are chance."""
+    return reduce(lambda a, p: a | (ext.isin(*STREAMS[p]) & _starts(c, p)), STREAMS, F.lit(False))
+
+
 def seven_zip_encrypted(c: Column) -> Column:
     """An encoded end header, or the AES method named in a plain one. The start header gives its place and size in little-endian numbers."""
     number = lambda at: reduce(lambda a, i: a + F.coalesce(_byte(c, at + i), F.lit(0)).cast("long") * F.lit(256**i), range(1, 7), F.coalesce(_byte(c, at), F.lit(0)).cast("long"))
@@ -71,7 +78,8 @@ def seven_zip_encrypted(c: Column) -> Column:
 def encrypted(c: Column, ext: Column, ole: Column | None = None, strict_pgp: bool = False) -> Column:
     """Whether a file is encrypted. ``ole``: the verdict on compound files, from ``operators.legacy``; by default that OOXML types in one are.
 
-    Under four bytes nothing is. Formats are tried in order, and the PGP heuristic only where no other matches.
+    Under four bytes nothing is. Formats are tried in order, and the PGP heuristic only where no other matches. Compressed
+    streams have no mark of encryption.
     """
     ole = ext.isin(*OOXML) if ole is None else F.coalesce(ole, F.lit(False))
     return (
@@ -81,6 +89,7 @@ def encrypted(c: Column, ext: Column, ole: Column | None = None, strict_pgp: boo
         .when(_starts(c, "25504446"), pdf_encrypted(c))
         .when(_starts(c, "377ABCAF271C"), seven_zip_encrypted(c))
         .when(_starts(c, "526172211A07"), rar_encrypted(c))
+        .when(compressed_stream(c, ext), False)
         .otherwise(pgp_like(c, strict_pgp))
     )
 
