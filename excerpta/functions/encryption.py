@@ -15,7 +15,7 @@ PGP_FIRST = "85 8C C4 A8 84 8D 95 99".split()
 NOT_PACKET_SECOND = "50 4A 4D 47".split()
 NOT_PACKET_PAIRS = "8950 8A4D 8B4A 8180 5261 377A".split()
 # Compressed streams and the starts by which they are known. Their bytes are as good as random.
-STREAMS = {"425A68": ("bz2", "tar.bz2")}
+STREAMS = {"1F8B08": ("gz", "tgz", "tar.gz"), "425A68": ("bz2", "tar.bz2"), "FD377A585A00": ("xz", "tar.xz")}
 OOXML = "docx xlsx pptx docm xlsm pptm xlsb dotx dotm xltx xltm potx potm ppsx ppsm".split()
 
 
@@ -60,7 +60,7 @@ def pgp_like(c: Column, strict: bool = False) -> Column:
 
 
 def compressed_stream(c: Column, ext: Column) -> Column:
-    """Whether a file of a compressed type starts as its type does. The letters "PGP" in such a stream are chance."""
+    """Whether a file of a compressed type starts as its type does. The letters "PGP" in such a stream are chance, or a text too short to be compressed."""
     return reduce(lambda a, p: a | (ext.isin(*STREAMS[p]) & _starts(c, p)), STREAMS, F.lit(False))
 
 
