@@ -4,9 +4,11 @@ A byte goes if a 50-byte string that covers it also starts in a document of smal
 has an anchor: the 32-byte string of least hash among the 19 that it holds. Equal strings have equal anchors
 at equal places, so only anchors that occur in two documents matter. Around each of those, 18 bytes on either
 side hold every 50-byte string with that anchor. Occurrences with the same bytes around are one, known by its
-least document. What is left to compare is written as 18 symbols, one symbol for the anchor, 18 symbols, and
-a suffix array over all of it brings equal strings together: suffixes that agree in 19 symbols agree in 50
-bytes. The answers return to the documents as bits of the starts around each anchor.
+least document. The strings that begin 0 to 9 bytes before an anchor, and those that begin 10 to 18 before it, are
+compared by themselves: what is left to compare is written as the 9 or 8 bytes before the string that begins last and
+one symbol for that string, named in the order of such strings. A suffix array over all of it brings equal strings
+together, as suffixes with the same bytes before are ordered by what follows. The answers return to the documents as
+bits of the starts around each anchor.
 
 The suffix array is built without recursion or renaming: suffixes are grouped by their longest Lyndon prefix,
 groups taken in descending order, each suffix pointing to the nearest suffix before it of a smaller group and
@@ -34,8 +36,6 @@ from .common import parallelism, text_or_empty, tidy
 
 LENGTH, GRAM = 50, 32
 SIDE = LENGTH - GRAM
-#: Symbols of a context and the separator after it.
-WIDE = 2 * SIDE + 2
 #: Symbols that one suffix array takes. More contexts of one anchor are told apart by more of their bytes first.
 ARRAY_SYMBOLS = 200_000
 #: Texts with an anchor beyond which its contexts are dealt by the bytes on either side too.
@@ -171,71 +171,66 @@ def suffix_array(s: list[int]) -> list[int]:
     return out
 
 
-def _earliest_by_array(token: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each distinct context and each of its strings, the least document that has the string."""
-    m = len(ctx)
-    body = np.ones((m, WIDE), np.int64)
-    body[:, :SIDE] = ctx[:, :SIDE]
-    body[:, SIDE] = token + 300
-    body[:, SIDE + 1 : -1] = ctx[:, SIDE:]
-    flat = np.append(body.ravel(), 0)
-    order = np.asarray(suffix_array(flat.tolist()), np.int64)
-    order = order[order < m * WIDE]
-    row, at = order // WIDE, order % WIDE
-    keep = at <= SIDE
-    row, at, order = row[keep], at[keep], order[keep]
-    window = flat[order[:, None] + np.arange(SIDE + 1)]
-    new = np.concatenate(([True], (window[1:] != window[:-1]).any(axis=1)))
-    least = np.minimum.reduceat(doc[row], np.flatnonzero(new))[np.cumsum(new) - 1]
-    out = np.full((m, SIDE + 1), _LAST)
-    out[row, at] = least
+def _earliest_by_array(token: np.ndarray, name: np.ndarray, ctx: np.ndarray, doc: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """For each context and each of its strings that begin lo..hi bytes before the anchor, hi first, the least document that has the string.
+
+    A context is written as the bytes before its string at ``lo`` and one symbol for that string, ``name``. Names ascend
+    in the order of tokens and strings, so that strings of one token with the same beginning stay neighbours.
+    """
+    m, width = len(ctx), hi - lo + 1
+    body = np.empty((m, width), np.int64)
+    body[:, :-1] = ctx[:, SIDE - hi : SIDE - lo]
+    body[:, -1] = name + 300
+    order = np.asarray(suffix_array(np.append(body.ravel(), 0).tolist()), np.int64)
+    order = order[order < m * width]
+    row, at = order // width, order % width
+    string = ctx[row[:, None], (SIDE - hi + at)[:, None] + np.arange(SIDE)]
+    new = (string[1:] != string[:-1]).any(axis=1) | (token[row[1:]] != token[row[:-1]]) | (at[1:] != at[:-1])
+    new = np.concatenate(([True], new))
+    out = np.empty((m, width), np.int64)
+    out[row, at] = np.minimum.reduceat(doc[row], np.flatnonzero(new))[np.cumsum(new) - 1]
     return out
 
 
 def _earliest(token: np.ndarray, ctx: np.ndarray, doc: np.ndarray, lo: int = 0, hi: int = SIDE) -> np.ndarray:
-    """For each distinct context, sorted by token, the least document that has each of its strings.
+    """For each context, the least document that has each of its strings that begin lo..hi bytes before the anchor, hi first.
 
-    The string that begins ``l`` bytes before the anchor needs those bytes and the ``SIDE - l`` after it. Contexts
-    that share enough for no ``l`` in lo..hi with another one of their anchor have such strings for themselves.
-    The others go to suffix arrays; too many of one anchor are told apart for half of the ``l`` at a time.
+    The string that begins ``l`` bytes before the anchor needs those bytes and the ``SIDE - l`` after it. Each half of
+    the ``l`` is worked on by itself: contexts that differ elsewhere are one, those that share too little with any
+    other one of their anchor have such strings for themselves, the others go to suffix arrays. Too many that share
+    what all strings of the half share are told apart for half of its ``l`` at a time.
     """
-    out = np.repeat(doc[:, None], SIDE + 1, axis=1)
-    if lo == hi:
-        parts = [(lo, lo)]
-    else:
-        parts = [(lo, (lo + hi) // 2), ((lo + hi) // 2 + 1, hi)]
-    group, may = [], np.zeros(len(ctx), bool)
-    for a, b in parts:
-        sig = np.ascontiguousarray(np.concatenate((token[:, None].astype(np.int64).view(np.int16).reshape(len(ctx), 4), ctx[:, SIDE - a : 2 * SIDE - b]), axis=1))
-        _, of, n = np.unique(sig.view([("", f"V{sig.shape[1] * 2}")]).ravel(), return_inverse=True, return_counts=True)
-        group.append(of.ravel())
-        may |= n[of.ravel()] > 1
-    if lo == hi:  # equal strings are one
-        least = np.full(group[0].max(initial=0) + 1, _LAST)
-        np.minimum.at(least, group[0], doc)
-        out[:, SIDE - lo] = least[group[0]]
-        return out
-    pick = np.flatnonzero(may)
-    if not len(pick):
-        return out
-    edges = np.flatnonzero(np.concatenate(([True], token[pick][1:] != token[pick][:-1])))
-    ends = np.append(edges[1:], len(pick))
-    many = (ends - edges) * WIDE > ARRAY_SYMBOLS
-    for a, b in zip(edges[many], ends[many]):
-        p = pick[a:b]
-        for (x, y), of in zip(parts, group):
-            order = p[np.argsort(of[p], kind="stable")]
-            out[order] = np.minimum(out[order], _earliest(of[order], ctx[order], doc[order], x, y))
-    edges, ends = edges[~many], ends[~many]
-    a = 0
-    while a < len(edges):
-        b, size = a, 0
-        while b < len(edges) and (b == a or (size + ends[b] - edges[b]) * WIDE <= ARRAY_SYMBOLS):
-            size += ends[b] - edges[b]
-            b += 1
-        p = np.concatenate([pick[x:y] for x, y in zip(edges[a:b], ends[a:b])])
-        out[p] = _earliest_by_array(np.unique(token[p], return_inverse=True)[1].ravel(), ctx[p], doc[p])
-        a = b
+    out = np.empty((len(ctx), hi - lo + 1), np.int64)
+    mid = (lo + hi) // 2
+    for a, b in [(lo, lo)] if lo == hi else [(lo, mid), (mid + 1, hi)]:
+        columns = np.concatenate((np.arange(SIDE - a, 2 * SIDE - a), np.arange(SIDE - b, SIDE - a)))
+        key = np.concatenate((token[:, None].astype(np.int64).view(np.int16).reshape(len(ctx), 4), ctx[:, columns]), axis=1)
+        _, first, of = np.unique(key.view([("", f"V{key.shape[1] * 2}")]).ravel(), return_index=True, return_inverse=True)
+        of = of.ravel()
+        least = np.full(len(first), _LAST)
+        np.minimum.at(least, of, doc)
+        key, rows = key[first], ctx[first]
+        found = np.repeat(least[:, None], b - a + 1, axis=1)
+        if a < b:
+            differs = key[1:] != key[:-1]
+            shared = 4 + SIDE - (b - a)  # the token and what all strings of this half have in common
+            group = np.concatenate(([0], np.cumsum(differs[:, :shared].any(axis=1))))
+            name = np.concatenate(([0], np.cumsum(differs[:, : 4 + SIDE].any(axis=1))))
+            edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            ends = np.append(edges[1:], len(group))
+            some = ends - edges > 1
+            many = some & ((ends - edges) * (b - a + 1) > ARRAY_SYMBOLS)
+            for x, y in zip(edges[many], ends[many]):
+                found[x:y] = _earliest(group[x:y], rows[x:y], least[x:y], a, b)
+            pick = np.flatnonzero(np.repeat(some & ~many, ends - edges))
+            stops = np.cumsum((ends - edges)[some & ~many])
+            x = 0
+            while x < len(pick):
+                y = stops[np.searchsorted(stops, x + ARRAY_SYMBOLS // (b - a + 1), "right") - 1]
+                p = pick[x:y]
+                found[p] = _earliest_by_array(group[p], name[p] - name[p[0]], rows[p], least[p], a, b)
+                x = y
+        out[:, hi - b : hi - a + 1] = found[of]
     return out
 
 
@@ -418,14 +413,16 @@ def _emit_contexts(n_buckets: int):
                 at, h = anchors(b)
                 own = (_buckets(h, n_buckets) << 8 * TOKEN_BYTES) | (h & np.uint64((1 << 8 * TOKEN_BYTES) - 1)).astype(np.int64)
                 wanted = wanted.values.to_numpy()
-                take = np.isin(own, np.where(wanted < 0, ~wanted, wanted))
+                sought = np.sort(np.where(wanted < 0, ~wanted, wanted))
+                take = sought[np.minimum(np.searchsorted(sought, own), len(sought) - 1)] == own
                 at, h, own = at[take], h[take], own[take]
                 if not len(at):
                     continue
                 # bytes outside of the text are a symbol of their own, 256 + 1 here and in the array
                 wide = np.concatenate((np.full(SIDE, 299, np.int16), b.astype(np.int16) + 2, np.full(SIDE, 299, np.int16)))
                 around = np.concatenate((np.arange(SIDE), np.arange(SIDE + GRAM, LENGTH + SIDE)))
-                held.append((h, np.full(len(at), key), np.full(len(at), rid), at, wide[at[:, None] + around], np.isin(own, ~wanted[wanted < 0])))
+                hot = ~wanted[wanted < 0]
+                held.append((h, np.full(len(at), key), np.full(len(at), rid), at, wide[at[:, None] + around], np.isin(own, hot) if len(hot) else np.zeros(len(at), bool)))
                 size += len(at) * 2 * SIDE
                 if size >= PACK_BYTES:
                     yield flush()
