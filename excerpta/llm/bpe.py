@@ -14,12 +14,13 @@ long that way is periodic; the same step then contracts all equal pairs at once
 same end (if the new token starts or ends no merge of a smaller rank than its own, every pair that the
 contraction creates ranks behind those that are left), and keeps only the newest rows.
 
-A cache of bounded size keeps the words that a worker has met.
+A cache of bounded size keeps the words that a task has met.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -84,7 +85,7 @@ def merge_rows(ranks: dict[bytes, int]) -> pa.Table:
 
 
 class Codec:
-    """Encodes and decodes words in DuckDB; one a worker."""
+    """Encodes and decodes words in DuckDB; one a task, so that idle workers, of which an executor may have many, hold none."""
 
     def __init__(self, path: str):
         self.ranks = vocabulary(path)
@@ -102,6 +103,14 @@ class Codec:
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
 
+    def close(self) -> None:
+        """Give all memory back."""
+        self.db.close()
+        for kept in (self.known, self.older, self.borders, self.tokens):
+            kept.clear()
+        vocabulary.cache_clear()
+        _codec.cache_clear()
+
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word (UTF-8)."""
         return [ids.tolist() for ids in self.ids_of(words)]
@@ -243,7 +252,11 @@ def _codec(path: str) -> Codec:
 
 def _encode(path: str, pattern: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, split = _codec(path), regex.compile(pattern)
+        with contextlib.closing(_codec(path)) as codec:
+            yield from of(codec, batches)
+
+    def of(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = regex.compile(pattern)
         for b in batches:
             at = 0
             while at < b.num_rows:
