@@ -419,10 +419,14 @@ def image_note(spark: SparkSession, d: str) -> DataFrame:
 @query("""select c_custkey, printf('%.2f%%', c_acctbal * 100) || ' ' || printf('%.2f', c_acctbal) || ' ' || printf('%.0f', c_acctbal) || ' ' || regexp_replace(c_acctbal::varchar, '[.]0$', '') || ' ' || regexp_replace(c_acctbal::varchar, '[.]0$', '')
     || ' ' || month(d) || '/' || day(d) || '/' || strftime(d, '%y') || ' ' || strftime(d, '%m/%d/%Y') || ' 06:00:00' as content from (select c_custkey, c_acctbal, date '1899-12-30' + (40000 + c_custkey % 5000)::int as d from customer)""")
 def xls_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """A balance in percent, two places, whole, General and built-in format, and a day in two date formats."""
+    """A balance in percent, two places, whole, General and built-in format, and a day in two date formats.
+
+    A customer is a few bytes and its workbook 5,632, so the scan's tasks, cut by bytes, are too few: the customers are dealt to all cores.
+    """
     formats = ["0.00%", "#,##0.00", "0", "General", "", "M/D/YY", "MM/DD/YYYY\\ HH:MM:SS"]
     build = udfs.scalar(lambda r: synthesise.xls_numbers(formats, [r["x"]] * 5 + [r["day"], r["day"] + 0.25]), "binary")
-    rows = table(spark, d, "customer").select("c_custkey", build(F.struct(F.col("c_acctbal").alias("x"), (40000.0 + F.col("c_custkey") % 5000).alias("day"))).alias("content"))
+    dealt = table(spark, d, "customer").select("c_custkey", "c_acctbal").repartition(4 * spark.sparkContext.defaultParallelism)
+    rows = dealt.select("c_custkey", build(F.struct(F.col("c_acctbal").alias("x"), (40000.0 + F.col("c_custkey") % 5000).alias("day"))).alias("content"))
     files = rows.select(F.concat(F.col("c_custkey").cast("string"), F.lit(".xls")).alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"), F.length("content").cast("bigint").alias("length"), "content")
     return X.extract(files).select(F.regexp_extract("file_name", "^([0-9]+)", 1).cast("long").alias("c_custkey"), "content")
 

@@ -82,7 +82,8 @@ def _parse(mode: str, ocr: bool):
                 yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in _OUT], schema=_OUT)
             if ready.num_rows < b.num_rows:
                 need = b.filter(wanted)
-                yield from sliced((one(need.slice(i, 1).to_pylist()[0]) for i in range(need.num_rows)), "content", _OUT)
+                raw, short = need.column("bytes"), need.drop_columns(["bytes"]).to_pylist()
+                yield from sliced((one(r | {"bytes": raw[i].as_py()}) for i, r in enumerate(short)), "content", _OUT)
 
     return run
 
